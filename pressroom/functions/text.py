@@ -132,7 +132,7 @@ def extractive_summary(title: Column, text: Column, keep: int = 3) -> Column:
     best = F.slice(F.array_sort(F.filter(scored, lambda x: x["rank"] < 0)), 1, keep)
     in_order = F.array_sort(F.transform(best, lambda x: F.struct(x["pos"].alias("pos"), x["s"].alias("s"))))
     joined = F.array_join(F.transform(in_order, lambda x: x["s"]), " ")
-    return F.when(filled(text), F.coalesce(F.nullif(joined, F.lit("")), F.lit("Done")))
+    return F.when(filled(text), _let(joined, lambda j: F.when(j != "", j).otherwise(F.lit("Done"))))
 
 
 def parse_tags(reply: Column, names: list[str], keep: int = 5) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import digest, preference, uniform
+from ..session import cut_lineage
 from .selection import mark_smallest
 
 SEED = 42
@@ -99,17 +100,18 @@ def force_missing_class(rows: DataFrame, seed: int = SEED) -> DataFrame:
 def oversample(rows: DataFrame, seed: int = SEED) -> DataFrame:
     """Add ``copies`` so that every class of a reader weighs as much as the largest.
 
-    Rows are repeated in turn, not drawn at random, and only as a weight.
+    Rows are repeated in turn, not drawn at random, and only as a weight. ``n`` is the
+    reader's total weight, known here without another join.
     """
     sizes = rows.groupBy(USER, "y").agg(F.count(F.lit(1)).alias("_size"))
-    most = F.max("_size").over(Window.partitionBy(USER))
+    user = Window.partitionBy(USER)
     missing = F.col("_most") - F.col("_size")
-    quotas = sizes.withColumn("_most", most).select(
-        USER, "y", (missing % F.col("_size")).alias("quota"),
+    quotas = sizes.withColumns({"_most": F.max("_size").over(user), "_k": F.count(F.lit(1)).over(user)}).select(
+        USER, "y", (missing % F.col("_size")).alias("quota"), (F.col("_most") * F.col("_k")).alias("n"),
         F.floor(missing / F.col("_size")).cast("int").alias("_rounds"))
     marked = mark_smallest(rows, [USER, "y"], quotas, **_by_digest(seed))
     copies = 1 + F.col("_rounds") + F.col("picked").cast("int")
-    return marked.withColumn("copies", copies).select(*rows.columns, "copies")
+    return marked.withColumn("copies", copies).select(*rows.columns, "copies", "n")
 
 
 def neutral_skip(updates: DataFrame, counts: DataFrame, key: str, seed: int = SEED) -> DataFrame:
@@ -123,11 +125,13 @@ def neutral_skip(updates: DataFrame, counts: DataFrame, key: str, seed: int = SE
 
 
 def prepare(rows: DataFrame, seed: int = SEED) -> DataFrame:
-    """Balanced, labelled and weighted rows (userid, row_key, y, copies).
+    """Balanced, labelled and weighted rows (userid, row_key, y, copies, n).
 
     Works on keys and flags only; the texts are joined back by ``row_key`` afterwards
-    instead of travelling through every shuffle.
+    instead of travelling through every shuffle. Each step reads its input several
+    times (sizes, histogram, rows), hence the two checkpoints of these narrow rows.
     """
-    narrow = rows.select(USER, "row_key", "isliked", "issaved")
+    narrow = cut_lineage(rows.select(USER, "row_key", "isliked", "issaved"))
     balanced = with_label(balance_neutral(narrow, seed))
-    return oversample(force_missing_class(balanced, seed), seed).select(USER, "row_key", "y", "copies")
+    forced = cut_lineage(force_missing_class(balanced, seed).select(USER, "row_key", "y"))
+    return oversample(forced, seed).select(USER, "row_key", "y", "copies", "n")

@@ -17,6 +17,7 @@ from ..operators import similarity as S
 from ..operators import tfidf as V
 from ..operators import training as R
 from ..operators.selection import latest
+from ..session import cut_lineage
 from ..schemas import BACKEND_ARTICLE_JSON, USER_ARTICLE_JSON, category_names
 from ..sources.tables import decode_documents
 from . import workload as W
@@ -283,15 +284,14 @@ def neutral_skip(spark: SparkSession, sf: str) -> DataFrame:
 # -- features and models ---------------------------------------------------------
 
 def _prepared(spark: SparkSession, sf: str) -> DataFrame:
-    rows = W.keyed(spark, sf)
-    return R.prepare(rows).join(rows.select("row_key", "title", "summary"), "row_key")
+    rows = cut_lineage(W.keyed(spark, sf))
+    return cut_lineage(R.prepare(rows).join(rows.select("row_key", "title", "summary"), "row_key"))
 
 
 def _fitted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows = _prepared(spark, sf)
-    counts = V.term_counts(rows, [USER], V.PREFERENCE, carry=["copies"])
-    sizes = rows.groupBy(USER).agg(F.sum("copies").alias("n"))
-    return counts, V.vocabulary(counts, sizes, [USER], V.PREFERENCE, "copies")
+    counts = V.term_counts(rows, [USER], V.PREFERENCE, carry=["copies", "n"])
+    return counts, V.vocabulary(counts, [USER], V.PREFERENCE, "copies")
 
 
 def tfidf_vocab(spark: SparkSession, sf: str) -> DataFrame:
@@ -314,9 +314,9 @@ def tfidf_transform(spark: SparkSession, sf: str) -> DataFrame:
 def ordered_tag_features(spark: SparkSession, sf: str) -> DataFrame:
     """One vocabulary per feed and tag position; width of the slot and weights of each row."""
     rows = W.backend_articles(spark, sf).select("feedurl", F.col("doc_id").alias("row_key"), "tags")
-    counts = V.tag_counts(rows, ["feedurl"])
     sizes = rows.groupBy("feedurl").agg(F.count(F.lit(1)).alias("n"))
-    vocab = V.vocabulary(counts, sizes, ["feedurl"], V.TAG_SLOT)
+    counts = V.tag_counts(rows.join(sizes, "feedurl"), ["feedurl"])
+    vocab = V.vocabulary(counts, ["feedurl"], V.TAG_SLOT)
     layout = V.tag_layout(vocab, V.tag_slots(rows, ["feedurl"]), ["feedurl"])
     w = V.weights(counts, vocab, ["feedurl"], V.TAG_SLOT).groupBy("feedurl", "row_key", "block").agg(
         F.count(F.lit(1)).alias("n_terms"), _six(F.sum("weight")).alias("total"))

@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from ..functions import docs as D
 from ..functions import text as X
+from ..session import widen
 from ..operators.training import keyed_rows, training_rows
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf}/{name}.parquet")
+    if name in ("documents", "pages"):
+        return widen(df)
     return df.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in df.columns else df
 
 
