@@ -41,6 +41,18 @@ _REPLY = (f"'[\"' || {_name('doc_id', 1)} || '\", \"' || upper({_name('length(te
           f"{_name('length(text)', 5)} || '\", \"' || {_name('length(text)', 7)} || '\", \"' || "
           f"{_name('length(text)', 11)} || '\"]'")
 
+
+
+def _grams(source: str, keys: str, row: str, text: str, longest: int) -> str:
+    """All 1..longest-grams of ``text`` as rows (keys, n, term), from token positions."""
+    runs = [" || ' ' || ".join(["w"] + [f"w{k}" for k in range(1, n)]) for n in range(1, longest + 1)]
+    leads = "".join(f", lead(w, {k}) OVER o AS w{k}" for k in range(1, longest))
+    return f"""SELECT * FROM (SELECT {keys}, unnest(range(1, {longest + 1})) AS n, unnest([{', '.join(runs)}]) AS term
+        FROM (SELECT *{leads} FROM (SELECT {keys}, unnest(t) AS w, unnest(range(0, len(t))) AS p
+                                    FROM (SELECT *, {_words(text)} AS t FROM {source}))
+              WINDOW o AS (PARTITION BY {row} ORDER BY p))) WHERE term IS NOT NULL"""
+
+
 _SIZES = "SELECT userid, sum(copies)::BIGINT AS n FROM prepared GROUP BY userid"
 
 # Named building blocks; each may use those above it.
@@ -123,14 +135,12 @@ CTES: dict[str, str] = {
         FROM (SELECT *, max(n) OVER (PARTITION BY userid) AS most FROM (
             SELECT *, count(*) OVER (PARTITION BY userid, y) AS n,
                    row_number() OVER (PARTITION BY userid, y ORDER BY md5('42:' || row_key)) AS r FROM forced))""",
-    "gram_rows": f"""
-        SELECT userid, row_key, copies, 'title' AS block, {_words('title')} AS t FROM prepared
-        UNION ALL SELECT userid, row_key, copies, 'summary', {_words('summary')} FROM prepared""",
-    "gram_counts": """
-        SELECT userid, row_key, copies, block, term, count(*) AS tf FROM (
-            SELECT userid, row_key, copies, block, unnest(flatten(list_transform(range(1, 6), lambda n:
-                list_transform(range(1, len(t) - n + 2), lambda i: array_to_string(t[i:i + n - 1], ' '))))) AS term
-            FROM gram_rows) GROUP BY ALL""",
+    "gram_rows": """
+        SELECT userid, row_key, copies, 'title' AS block, title AS text FROM prepared
+        UNION ALL SELECT userid, row_key, copies, 'summary', summary FROM prepared""",
+    "gram_counts": f"""
+        SELECT userid, row_key, copies, block, term, count(*) AS tf
+        FROM ({_grams('gram_rows', 'userid, row_key, copies, block', 'row_key, block', 'text', 5)}) GROUP BY userid, row_key, copies, block, term""",
     "vocab": f"""
         SELECT userid, block, term, df, tf, ln((1 + n) / (1 + df)) + 1 AS idf FROM (
             SELECT *, row_number() OVER (PARTITION BY userid, block ORDER BY tf DESC, md5(term), term) AS r FROM (
@@ -153,12 +163,12 @@ CTES: dict[str, str] = {
         SELECT event_id, href, feedurl, CASE WHEN NOT isread THEN summary END AS summary, [action] AS tags, updatedat
         FROM reader""",
     "categories": "SELECT unnest(range(0, {n})) AS pos, unnest({names}) AS name".format(n=len(_NAMES), names=_LISTED),
+    "tag_rows": """
+        SELECT feedurl, doc_id, slot, tags[slot + 1] AS tag FROM (
+            SELECT feedurl, doc_id, tags, unnest(range(0, len(tags))) AS slot FROM backend)""",
     "tag_terms": f"""
-        SELECT feedurl, doc_id, slot, term, count(*) AS tf FROM (
-            SELECT feedurl, doc_id, slot, unnest(flatten(list_transform(range(1, 4), lambda n:
-                list_transform(range(1, len(t) - n + 2), lambda i: array_to_string(t[i:i + n - 1], ' '))))) AS term
-            FROM (SELECT feedurl, doc_id, slot, {_words('tags[slot + 1]')} AS t FROM (
-                SELECT feedurl, doc_id, tags, unnest(range(0, len(tags))) AS slot FROM backend))) GROUP BY ALL""",
+        SELECT feedurl, doc_id, slot, term, count(*) AS tf
+        FROM ({_grams('tag_rows', 'feedurl, doc_id, slot', 'doc_id, slot', 'tag', 3)}) GROUP BY feedurl, doc_id, slot, term""",
     "tag_vocab": """
         SELECT t.feedurl, slot, term, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM tag_terms t
         JOIN (SELECT feedurl, count(*) AS n FROM backend GROUP BY feedurl) s ON s.feedurl = t.feedurl
@@ -225,12 +235,11 @@ QUERIES: dict[str, str] = {
                    GROUP BY feedurl, doc_id, slot) w
                ON w.feedurl = b.feedurl AND w.doc_id = b.doc_id AND w.slot = s.slot""",
     "score_articles": f"""
-        WITH rows AS (SELECT event_id, userid, 'title' AS block, {_words('title')} AS t FROM reader
-                      UNION ALL SELECT event_id, userid, 'summary', {_words("coalesce(summary, '')")} FROM reader),
-        counts AS (SELECT event_id, userid, block, term, count(*) AS tf FROM (
-            SELECT event_id, userid, block, unnest(flatten(list_transform(range(1, 6), lambda n:
-                list_transform(range(1, len(t) - n + 2), lambda i: array_to_string(t[i:i + n - 1], ' '))))) AS term
-            FROM rows) GROUP BY ALL),
+        WITH texts AS (SELECT event_id, userid, 'title' AS block, title AS text FROM reader
+                       UNION ALL SELECT event_id, userid, 'summary', coalesce(summary, '') FROM reader),
+        counts AS (SELECT event_id, userid, block, term, count(*) AS tf
+                   FROM ({_grams('texts', 'event_id, userid, block', 'event_id, block', 'text', 5)})
+                   GROUP BY event_id, userid, block, term),
         coefs AS (SELECT userid, block, term, idf, ({_code("'dislike:' || term")} - 0.5) * 4 AS d,
                          ({_code("'neutral:' || term")} - 0.5) * 4 AS n, ({_code("'like:' || term")} - 0.5) * 4 AS l
                   FROM vocab),
@@ -348,9 +357,8 @@ QUERIES: dict[str, str] = {
     "ngrams": f"""
         SELECT doc_id, n::INTEGER AS n, sum(tf)::BIGINT AS grams, count(*) AS distinct_grams,
                round(sum(tf * {_code('term')}), 6) AS code
-        FROM (SELECT doc_id, n, term, count(*) AS tf FROM (
-            SELECT doc_id, n, unnest(list_transform(range(1, len(t) - n + 2), lambda i: array_to_string(t[i:i + n - 1], ' '))) AS term
-            FROM (SELECT doc_id, {_words('text')} AS t, unnest(range(1, 6)) AS n FROM documents)) GROUP BY ALL)
+        FROM (SELECT doc_id, n, term, count(*) AS tf FROM ({_grams('documents', 'doc_id', 'doc_id', 'text', 5)})
+              GROUP BY doc_id, n, term)
         GROUP BY doc_id, n""",
     "reuse_processed": f"""
         WITH known AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY link ORDER BY updatedat DESC, feedurl DESC) AS r
