@@ -21,7 +21,11 @@ WORD = "[\\p{L}\\p{N}_]{2,}"
 
 
 def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, even where lambdas use it repeatedly."""
+    """``body(value)`` with the value computed once.
+
+    Inside lambdas, and where the optimizer moves a projection into a filter, an
+    expression named twice would be computed twice.
+    """
     return F.get(F.transform(F.array(value), body), 0)
 
 
@@ -88,11 +92,11 @@ def fetchable(content_type: Column, body: Column) -> Column:
 
 
 def long_enough(text: Column) -> Column:
-    return F.when(F.length(text) >= MIN_TEXT, text)
+    return _let(text, lambda t: F.when(F.length(t) >= MIN_TEXT, t))
 
 
 def usable_summary(summary: Column) -> Column:
-    return F.when((F.trim(summary) != "") & (F.length(summary) >= MIN_SUMMARY), summary)
+    return _let(summary, lambda s: F.when((F.trim(s) != "") & (F.length(s) >= MIN_SUMMARY), s))
 
 
 def filled(text: Column) -> Column:

@@ -73,7 +73,7 @@ def event_log_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def article_archive(spark: SparkSession, sf: str) -> DataFrame:
-    a = W.backend_articles(spark, sf).select(
+    a = W.backend_articles(spark, sf, summary=False).select(
         *[v.alias(k) for k, v in D.day_parts(F.col("createdat")).items()],
         D.archive_key(F.col("createdat"), F.col("link")).alias("archive_key"), "updatedat", "doc_id", "feedurl",
         "title", F.md5("content").alias("content_md5"))
@@ -149,7 +149,7 @@ def keyword_tags(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def render_prompts(spark: SparkSession, sf: str) -> DataFrame:
-    return W.backend_articles(spark, sf).select(
+    return W.backend_articles(spark, sf, summary=False).select(
         "doc_id", X.tag_request(F.col("title"), F.col("textcontent"), category_names()).alias("tag_request"),
         X.summary_rules(F.col("title")).alias("summary_rules"))
 
@@ -194,7 +194,7 @@ def merge_backend(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _reader_side(spark: SparkSession, sf: str) -> DataFrame:
-    return W.user_articles(spark, sf).select(
+    return W.user_articles(spark, sf, summary=True).select(
         "event_id", "userid", "href", "feedurl", F.when(~F.col("isread"), F.col("summary")).alias("summary"),
         F.array("action").alias("tags"), "updatedat")
 
@@ -313,7 +313,7 @@ def tfidf_transform(spark: SparkSession, sf: str) -> DataFrame:
 
 def ordered_tag_features(spark: SparkSession, sf: str) -> DataFrame:
     """One vocabulary per feed and tag position; width of the slot and weights of each row."""
-    rows = W.backend_articles(spark, sf).select("feedurl", F.col("doc_id").alias("row_key"), "tags")
+    rows = W.backend_articles(spark, sf, summary=False).select("feedurl", F.col("doc_id").alias("row_key"), "tags")
     sizes = rows.groupBy("feedurl").agg(F.count(F.lit(1)).alias("n"))
     counts = V.tag_counts(rows.join(sizes, "feedurl"), ["feedurl"])
     vocab = V.vocabulary(counts, ["feedurl"], V.TAG_SLOT)
@@ -340,7 +340,7 @@ def score_articles(spark: SparkSession, sf: str) -> DataFrame:
     meta = stats.select(USER, F.when(F.col("n_neutral") > 12, "trained").otherwise("insufficient_labels").alias("status"),
                         classes.alias("classes"), F.lit(0.1).alias("dislike_b"), F.lit(0.2).alias("neutral_b"),
                         F.lit(-0.1).alias("like_b"))
-    u = W.user_articles(spark, sf).select(USER, F.col("event_id").alias("row_key"), "title", "summary")
+    u = W.user_articles(spark, sf, summary=True).select(USER, F.col("event_id").alias("row_key"), "title", "summary")
     scored = P.score(u, P.Models(terms, meta))
     return scored.select(F.col("row_key").alias("event_id"), "status", *[
         _six(F.col(f"score.{k}")).alias(k.lower()) for k in ("neutral", "like", "dislike", "preferenceScore")])

@@ -23,22 +23,25 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return df.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in df.columns else df
 
 
-def _documents(spark: SparkSession, sf: str) -> DataFrame:
+def _documents(spark: SparkSession, sf: str, summary: bool = True) -> DataFrame:
+    """Documents as articles. The summary comes out of a generator, so that no filter on
+    it moves down to the scan, where it would be computed a second time."""
     day = F.lit("2024-01-01").cast("timestamp")
     created = F.timestamp_add("DAY", F.pmod("doc_id", F.lit(30)), day)
     text = X.long_enough(F.col("text"))
     title = F.split_part("text", F.lit("\n"), F.lit(1))
+    raw = F.explode(F.array(X.extractive_summary(title, text))) if summary else F.lit(None).cast("string")
     return read(spark, sf, "documents").select(
         "doc_id", F.concat(F.lit("https://ex.test/a/"), F.md5("text")).alias("link"),
         F.concat(F.lit("feed-"), "source").alias("feedurl"), title.alias("title"), F.col("text").alias("content"),
-        text.alias("textcontent"), X.extractive_summary(title, text).alias("raw_summary"), "lang", "source",
+        text.alias("textcontent"), raw.alias("raw_summary"), "lang", "source",
         created.alias("createdat"), F.timestamp_add("DAY", F.lit(1), created).alias("updatedat"),
         created.alias("pubdate"))
 
 
-def backend_articles(spark: SparkSession, sf: str) -> DataFrame:
+def backend_articles(spark: SparkSession, sf: str, summary: bool = True) -> DataFrame:
     """doc_id, link, feedurl, title, content, textcontent, summary, tags and three dates."""
-    joined = _documents(spark, sf).join(read(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    joined = _documents(spark, sf, summary).join(read(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left")
     tags = F.when(F.col("toxic").isNotNull(), F.array_compact(F.array(
         "lang", "source", F.when(F.col("toxic") == 1, "toxic"))))
     return joined.select("doc_id", "link", "feedurl", "title", "content", "textcontent",
@@ -46,9 +49,9 @@ def backend_articles(spark: SparkSession, sf: str) -> DataFrame:
                          "createdat", "updatedat", "pubdate")
 
 
-def user_articles(spark: SparkSession, sf: str) -> DataFrame:
+def user_articles(spark: SparkSession, sf: str, summary: bool = False) -> DataFrame:
     """The interaction log: every event falls on one document, round the whole collection."""
-    docs = _documents(spark, sf)
+    docs = _documents(spark, sf, summary)
     n_docs = read(spark, sf, "documents").agg(F.count(F.lit(1))).scalar()
     events = read(spark, sf, "events").withColumn("doc_id", F.col("event_id") % n_docs)
     kind, value = F.col("event_type"), F.col("value")
@@ -73,7 +76,7 @@ def keyed(spark: SparkSession, sf: str) -> DataFrame:
 
 def change_events(spark: SparkSession, sf: str) -> DataFrame:
     """Change events as JSON: reader articles, and feed records for unpaid sign-ups."""
-    u = user_articles(spark, sf).join(
+    u = user_articles(spark, sf, summary=True).join(
         read(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left")
     article = F.col("issaved").isNotNull() | F.col("isliked").isNotNull() | F.col("isread")
     doc = F.struct(
@@ -97,7 +100,7 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
 
 def article_messages(spark: SparkSession, sf: str) -> DataFrame:
     """Articles as JSON messages, some incomplete, misdated or broken."""
-    a = _documents(spark, sf).join(read(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    a = _documents(spark, sf, summary=False).join(read(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left")
     def date(c):
         return D.iso_timestamp(F.col(c))
     body = F.to_json(F.struct(
