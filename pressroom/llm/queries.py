@@ -14,6 +14,13 @@ def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return read_tokens(write_tokens(docs, tokenizer_file("word_bpe_49k.json"), end_id=2))
 
 
+def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    from .fm_index import find_contamination
+
+    docs, benchmark = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    return find_contamination(docs, benchmark, window=13, share=0.05).drop("spans")
+
+
 def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -21,6 +28,6 @@ def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), end_id=1, window=2048)
 
 
-QUERIES = {f.__name__: f for f in (op5_token_files, op9_packing)}
+QUERIES = {f.__name__: f for f in (op5_token_files, op7_decontamination, op9_packing)}
 
 SQL: dict[str, str] = {}
