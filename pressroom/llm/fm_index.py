@@ -73,7 +73,7 @@ class Phrases:
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Positions in the order of their suffixes; only ties are sorted again, each time by twice the length."""
     n = len(text)
-    order = np.argsort(text, kind="stable")
+    order = np.argsort(text)
     rank = np.zeros(n, np.int64)
     new = np.concatenate([[True], text[order[1:]] != text[order[:-1]]])
     at = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -84,7 +84,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         who = order[slots]
         after = np.where(who + k < n, rank[np.minimum(who + k, n - 1)] + 1, 0)
         mine = rank[who]
-        by = np.lexsort((after, mine))
+        by = np.argsort(mine * (n + 1) + after)
         who, after, mine = who[by], after[by], mine[by]
         order[slots] = who
         new = np.concatenate([[True], (mine[1:] != mine[:-1]) | (after[1:] != after[:-1])])
