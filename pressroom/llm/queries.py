@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .unitcodes import tokenizer_file
 
 
+def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    from .substring_dedup import remove_repeats
+
+    return remove_repeats(spark.read.parquet(f"{sf}/documents.parquet"), window=35).drop("factors")
+
+
 def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
     from .token_files import read_tokens, write_tokens
 
@@ -21,6 +27,12 @@ def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return find_contamination(docs, benchmark, window=13, share=0.05).drop("spans")
 
 
+def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
+    from .repetition import quality
+
+    return quality(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
 def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -28,6 +40,6 @@ def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), end_id=1, window=2048)
 
 
-QUERIES = {f.__name__: f for f in (op5_token_files, op7_decontamination, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_token_files, op7_decontamination, op8_quality, op9_packing)}
 
 SQL: dict[str, str] = {}
