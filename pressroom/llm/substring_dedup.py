@@ -166,14 +166,13 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 12, id_col: st
              .groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.twin").alias("twin"))
              .agg(F.collect_list(F.struct("anchor", "block", F.col("at.pos").alias("pos"), "n")).alias("asked")))
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & a["twin"].eqNullSafe(b["twin"])
-    some = rows.join(asked, same(rows, asked)).select(
-        # equal rows have equal windows, which are counted already: one of them answers
-        rows["doc_id"], rows["twin"], rows["text"], asked["asked"]).dropDuplicates(["doc_id", "twin"]).select("text", "asked")
+    # repeated rows all answer: their blocks count two places or more already, so no total passes one by that
+    some = rows.join(asked, same(rows, asked)).select(rows["text"], asked["asked"])
     windows = cut_lineage(_boundary_windows(some, window, gram))
     key = ["anchor", "place", "one", "two"]
     twice = windows.groupBy(*key).agg(F.sum("n").alias("total")).where("total > 1").select(*key)
     partial = (windows.where("n = 1").join(twice, key, "left_semi").groupBy("anchor", "block")
-               .agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("place"))).alias("mask")))
+               .agg(F.expr("bit_or(shiftleft(1L, place))").alias("mask")))
     masks = blocks.where("n > 1").select("anchor", "block", F.lit(-1).cast("long").alias("mask")).unionAll(partial)
     hits = (found.join(masks, ["anchor", "block"]).groupBy("doc_id", "twin")
             .agg(F.collect_list(F.struct("pos", "mask")).alias("hits")))
