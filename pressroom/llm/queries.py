@@ -13,6 +13,13 @@ def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf}/documents.parquet"), window=35).drop("factors")
 
 
+def op4_warc_index(spark: SparkSession, sf: str) -> DataFrame:
+    from .warc_index import archive_and_read
+
+    return archive_and_read(spark.read.parquet(f"{sf}/pages.parquet")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
     from .token_files import read_tokens, write_tokens
 
@@ -40,6 +47,14 @@ def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), end_id=1, window=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_token_files, op7_decontamination, op8_quality, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_warc_index, op5_token_files, op7_decontamination, op8_quality, op9_packing)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_warc_index": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS f FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > f THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > f THEN f END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)""",
+}
