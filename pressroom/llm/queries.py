@@ -27,6 +27,12 @@ def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return read_tokens(write_tokens(docs, tokenizer_file("word_bpe_49k.json"), end_id=2))
 
 
+def op6_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    from .wrapper import extract_text
+
+    return extract_text(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
 def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     from .fm_index import find_contamination
 
@@ -47,7 +53,7 @@ def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), end_id=1, window=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_warc_index, op5_token_files, op7_decontamination, op8_quality, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_warc_index, op5_token_files, op6_main_text, op7_decontamination, op8_quality, op9_packing)}
 
 SQL: dict[str, str] = {
     "op4_warc_index": """
