@@ -53,7 +53,14 @@ def op9_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), end_id=1, window=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_warc_index, op5_token_files, op6_main_text, op7_decontamination, op8_quality, op9_packing)}
+def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    from .jaccard_join import join_similar
+
+    return join_similar(spark.read.parquet(f"{sf}/documents.parquet"), size=5, percent=75)
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_warc_index, op5_token_files, op6_main_text, op7_decontamination, op8_quality, op9_packing,
+                                     op10_jaccard_join)}
 
 SQL: dict[str, str] = {
     "op4_warc_index": """
