@@ -13,6 +13,12 @@ def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf}/documents.parquet"), window=35).drop("factors")
 
 
+def op3_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    from .pii import find_personal
+
+    return find_personal(spark.read.parquet(f"{sf}/documents.parquet"), sample_docs=2000).drop("found")
+
+
 def op4_warc_index(spark: SparkSession, sf: str) -> DataFrame:
     from .warc_index import archive_and_read
 
@@ -59,7 +65,7 @@ def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return join_similar(spark.read.parquet(f"{sf}/documents.parquet"), size=5, percent=75)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_warc_index, op5_token_files, op6_main_text, op7_decontamination, op8_quality, op9_packing,
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_personal_data, op4_warc_index, op5_token_files, op6_main_text, op7_decontamination, op8_quality, op9_packing,
                                      op10_jaccard_join)}
 
 SQL: dict[str, str] = {
