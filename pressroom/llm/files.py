@@ -5,9 +5,11 @@ from __future__ import annotations
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-from pressroom.session import shared_dir
+from pressroom.session import cut_lineage, shared_dir
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
@@ -38,3 +40,18 @@ def read_at(uri: str):
     """An open file for range reads."""
     system, path = split_uri(uri)
     return system.open_input_file(path)
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder, read it from there, and free the shuffles that made it.
+
+    What follows depends on the written table alone, so the local shuffle files serve nobody any more;
+    without this they stay until the driver's garbage collector finds them.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        return cut_lineage(df)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)

@@ -28,9 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressroom.session import cut_lineage
-
 from .arrays import PLAIN, Rolling, Words, cover, mix, word_slices
+from .files import stage
 
 KIND = "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<start: int, length: int>>"
 _U = np.uint64
@@ -45,31 +44,30 @@ def _sliding(values: np.ndarray, length: int, pick: np.ufunc) -> np.ndarray:
     return pick(out[:len(out) - rest], out[rest:]) if len(out) > rest else out[:0]
 
 
-def anchors(w: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of anchors (word numbers of the slice), their hashes, and the hashes of their blocks."""
+def anchors(w: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of anchors (word numbers of the slice), their hashes, the hashes of their blocks, and the
+    places of the anchor in the first and the last window of its block (in one number, by 64)."""
     n, reach = w.n, window - gram + 1
-    none = np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, _U)
+    none = np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int32)
     if n < window:
         return none
     roll = Rolling(w.hashes(), 1)
     grams = np.maximum(mix(roll.windows(gram)), _U(1))
     least = _sliding(grams, reach, np.minimum)
-    last = w.last()
-    whole = np.arange(len(least)) + window <= last[:len(least)]
+    whole = np.arange(len(least)) + window <= w.last()[:len(least)]
     least[~whole] = 0
     padded = np.zeros(len(least) + 2 * (reach - 1), _U)
     padded[reach - 1:reach - 1 + len(least)] = least
     chosen = np.flatnonzero(_sliding(padded, reach, np.maximum)[:len(grams)] == grams)
-    first = np.repeat(w.first[:-1], w.counts())[chosen]
-    begin = np.maximum(first, chosen - reach + 1)
-    end = np.minimum(last[chosen], chosen + window)
-    block = mix(roll.span(begin, end - begin) + (chosen - begin).astype(_U) * _U(1 << 32) + (end - begin).astype(_U))
-    return chosen, grams[chosen], block
-
-
-def _pairs(w: Words) -> tuple[Rolling, Rolling]:
-    h = w.hashes()
-    return Rolling(h, 1), Rolling(mix(h), 2)
+    if not len(chosen):
+        return none
+    # windows that have this anchor begin at a run of places; padded[i + reach - 1] belongs to the window at i
+    mine = padded[chosen[:, None] + (reach - 1 - np.arange(reach))] == grams[chosen][:, None]
+    near = np.argmax(mine, axis=1)
+    far = reach - 1 - np.argmax(mine[:, ::-1], axis=1)
+    size = far - near + window
+    block = mix(roll.span(chosen - far, size) + far.astype(_U) * _U(1 << 32) + size.astype(_U))
+    return chosen, grams[chosen], block, (near + 64 * far).astype(np.int32)
 
 
 def _anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -77,41 +75,42 @@ def _anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
         for batch in batches:
             names, twins = batch.column(0), batch.column(1)
             for lo, hi, w in word_slices(batch.column(2), PLAIN):
-                at, anchor, block = anchors(w, window, gram)
+                at, anchor, block, places = anchors(w, window, gram)
                 text = np.searchsorted(w.first, at, "right") - 1
                 rows = pa.array(lo + text)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(anchor.view(np.int64)), pa.array(block.view(np.int64)), names.take(rows),
-                     twins.take(rows), pa.array((at - w.first[text]).astype(np.int32))],
-                    names=["anchor", "block", "doc_id", "twin", "pos"])
+                     twins.take(rows), pa.array((at - w.first[text]).astype(np.int32)), pa.array(places)],
+                    names=["anchor", "block", "doc_id", "twin", "pos", "places"])
+
+    return docs.mapInArrow(run, "anchor long, block long, doc_id long, twin int, pos int, places int")
 
-    return docs.mapInArrow(run, "anchor long, block long, doc_id long, twin int, pos int")
 
+def _boundary_windows(rows: DataFrame, window: int) -> DataFrame:
+    """The single windows of the listed blocks: a hash of all words and the anchor's place, under the anchor.
 
-def _boundary_windows(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    """Hashes of the single windows of the listed blocks: 128 bits, under anchor and place in the window."""
-    kind = "anchor long, block long, n long, place int, one long, two long"
+    Anchor and hash are made from different functions of the words, so together they have 128 bits."""
+    kind = "anchor long, block long, n long, place int, hash long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reach = window - gram + 1
         for batch in batches:
             lists = batch.column(1)
             for lo, hi, w in word_slices(batch.column(0), PLAIN):
                 part = lists.slice(lo, hi - lo)
                 flat = part.flatten()
                 text = np.repeat(np.arange(hi - lo), np.diff(part.offsets.to_numpy()))
-                anchor, block, pos, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("anchor", "block", "pos", "n"))
-                at = w.first[text] + pos
-                place = np.tile(np.arange(reach), len(at))
-                begin = np.repeat(at, reach) - place
-                text = np.repeat(text, reach)
-                ok = (begin >= w.first[text]) & (begin + window <= w.first[text + 1])
-                who = np.repeat(np.arange(len(at)), reach)[ok]
-                one, two = (mix(r.span(begin[ok], window)).view(np.int64) for r in _pairs(w))
+                anchor, block, pos, n, places = (
+                    flat.field(k).to_numpy(zero_copy_only=False) for k in ("anchor", "block", "pos", "n", "places"))
+                near, far = places % 64, places // 64
+                many = far - near + 1
+                who = np.repeat(np.arange(len(pos)), many)
+                place = near[who] + np.arange(len(who)) - (np.cumsum(many) - many)[who]
+                begin = (w.first[text] + pos)[who] - place
+                key = mix(Rolling(mix(w.hashes()), 2).span(begin, window) + place.astype(_U)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(anchor[who]), pa.array(block[who]), pa.array(n[who]),
-                     pa.array(place[ok].astype(np.int32)), pa.array(one), pa.array(two)],
-                    names=["anchor", "block", "n", "place", "one", "two"])
+                     pa.array(place.astype(np.int32)), pa.array(key)],
+                    names=["anchor", "block", "n", "place", "hash"])
 
     return rows.mapInArrow(run, kind)
 
@@ -158,22 +157,23 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 12, id_col: st
                        F.hash(text_col).alias("twin"), F.col(text_col).cast("string").alias("text"))
     found = _anchor_rows(rows, window, gram)
     shared = found.groupBy("anchor").count().where("count > 1").select("anchor")
-    found = cut_lineage(found.join(shared, "anchor", "left_semi"))
-    blocks = cut_lineage(found.groupBy("anchor", "block").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "twin", "pos")).alias("at")))
+    found = stage(found.join(shared, "anchor", "left_semi"))
+    blocks = stage(found.groupBy("anchor", "block").agg(
+        F.count("*").alias("n"), F.min(F.struct("doc_id", "twin", "pos", "places")).alias("at")))
     several = blocks.groupBy("anchor").count().where("count > 1").select("anchor")
     asked = (blocks.join(several, "anchor", "left_semi")
              .groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.twin").alias("twin"))
-             .agg(F.collect_list(F.struct("anchor", "block", F.col("at.pos").alias("pos"), "n")).alias("asked")))
+             .agg(F.collect_list(F.struct("anchor", "block", F.col("at.pos").alias("pos"), "n",
+                                          F.col("at.places").alias("places"))).alias("asked")))
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & a["twin"].eqNullSafe(b["twin"])
     # repeated rows all answer: their blocks count two places or more already, so no total passes one by that
     some = rows.join(asked, same(rows, asked)).select(rows["text"], asked["asked"])
-    windows = cut_lineage(_boundary_windows(some, window, gram))
-    key = ["anchor", "place", "one", "two"]
-    twice = windows.groupBy(*key).agg(F.sum("n").alias("total")).where("total > 1").select(*key)
-    partial = (windows.where("n = 1").join(twice, key, "left_semi").groupBy("anchor", "block")
+    windows = stage(_boundary_windows(some, window))
+    twice = windows.groupBy("anchor", "hash").agg(F.sum("n").alias("total")).where("total > 1").select("anchor", "hash")
+    partial = (windows.where("n = 1").join(twice, ["anchor", "hash"], "left_semi").groupBy("anchor", "block")
                .agg(F.expr("bit_or(shiftleft(1L, place))").alias("mask")))
-    masks = blocks.where("n > 1").select("anchor", "block", F.lit(-1).cast("long").alias("mask")).unionAll(partial)
+    whole = F.expr("shiftleft(1L, int(at.places div 64 + 1)) - shiftleft(1L, int(at.places % 64))")
+    masks = stage(blocks.where("n > 1").select("anchor", "block", whole.alias("mask")).unionAll(partial))
     hits = (found.join(masks, ["anchor", "block"]).groupBy("doc_id", "twin")
             .agg(F.collect_list(F.struct("pos", "mask")).alias("hits")))
     return _cut(rows.join(hits, same(rows, hits), "left").select(rows["doc_id"], rows["text"], hits["hits"]), window, gram)
