@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame
@@ -225,6 +226,42 @@ def _pieces(folder: str, window: int) -> Iterator[Phrases]:
         _PIECES[folder, window] = []
 
 
+def judge(texts: pa.Array, folder: str, window: int, share: float) -> dict[str, pa.Array]:
+    """All columns of ``HITS`` but the id, for a shard."""
+    n, per_hit = len(texts), round(1 / share)
+    counts, hashes = np.zeros(n, np.int64), [np.zeros(0, np.uint64)]
+    for lo, hi, w in word_slices(texts, ALNUM, lower=True):
+        counts[lo:hi] = w.counts()
+        hashes.append(w.hashes())
+    hashes = np.concatenate(hashes)
+    text_of = np.repeat(np.arange(n), counts)
+    starts, lengths, found = [], [], [set() for _ in range(n)]
+    for phrases in _pieces(folder, window):
+        start, length, doc, owner = _find(phrases, hashes, text_of)
+        starts.append(start)
+        lengths.append(length)
+        for d, o in zip(doc.tolist(), owner.tolist(), strict=True):
+            found[d].add(str(phrases.items[o]))
+    hit = np.zeros(len(hashes), bool)
+    if starts:
+        hit = cover(np.concatenate(starts), np.concatenate(lengths), len(hashes))
+    first = np.cumsum(counts) - counts
+    at = np.flatnonzero(hit)
+    n_hit = np.bincount(text_of[at], minlength=n)
+    head = np.ones(len(at), bool)
+    head[1:] = (at[1:] != at[:-1] + 1) | (text_of[at[1:]] != text_of[at[:-1]])
+    begin, end = at[head], at[np.append(head[1:], True)[:len(at)]] + 1
+    owner = text_of[begin]
+    spans: list[list] = [[] for _ in range(n)]
+    for d, b, e in zip(owner.tolist(), (begin - first[owner]).tolist(), (end - first[owner]).tolist(), strict=True):
+        spans[d].append({"start": b, "end": e})
+    return {"n_words": pa.array(counts, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()),
+            "n_items": pa.array([len(f) for f in found], pa.int64()),
+            "items_sha256": pa.array([hashlib.sha256(",".join(sorted(f)).encode()).hexdigest() for f in found], pa.string()),
+            "contaminated": pa.array((n_hit > 0) & (per_hit * n_hit >= counts), pa.bool_()),
+            "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))}
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.05,
                        id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """One row per document (``HITS``): words, hit words, items found, and the word spans to remove.
@@ -233,42 +270,22 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     """
     folder = _write_pieces(benchmark, item_col, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    per_hit = round(1 / share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            counts, hashes = np.zeros(n, np.int64), [np.zeros(0, np.uint64)]
-            for lo, hi, w in word_slices(batch.column(1), ALNUM, lower=True):
-                counts[lo:hi] = w.counts()
-                hashes.append(w.hashes())
-            hashes = np.concatenate(hashes)
-            text_of = np.repeat(np.arange(n), counts)
-            starts, lengths, found = [], [], [set() for _ in range(n)]
-            for phrases in _pieces(folder, window):
-                start, length, doc, owner = _find(phrases, hashes, text_of)
-                starts.append(start)
-                lengths.append(length)
-                for d, o in zip(doc.tolist(), owner.tolist(), strict=True):
-                    found[d].add(str(phrases.items[o]))
-            hit = np.zeros(len(hashes), bool)
-            if starts:
-                hit = cover(np.concatenate(starts), np.concatenate(lengths), len(hashes))
-            first = np.cumsum(counts) - counts
-            at = np.flatnonzero(hit)
-            n_hit = np.bincount(text_of[at], minlength=n)
-            head = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (text_of[at[1:]] != text_of[at[:-1]])]) if len(at) else np.zeros(0, bool)
-            begin, end = at[head], at[np.append(head[1:], True)] + 1 if len(at) else at
-            owner = text_of[begin]
-            spans: list[list] = [[] for _ in range(n)]
-            for d, b, e in zip(owner.tolist(), (begin - first[owner]).tolist(), (end - first[owner]).tolist(), strict=True):
-                spans[d].append({"start": b, "end": e})
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()),
-                pa.array([len(f) for f in found], pa.int64()),
-                pa.array([hashlib.sha256(",".join(sorted(f)).encode()).hexdigest() for f in found], pa.string()),
-                pa.array((n_hit > 0) & (per_hit * n_hit >= counts), pa.bool_()),
-                pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
+            got = judge(batch.column(1), folder, window, share)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *got.values()], names=["doc_id", *got])
 
     return rows.mapInArrow(run, HITS)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.05,
+                      text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """The documents that are not contaminated, with all their columns."""
+    folder, at = _write_pieces(benchmark, item_col, "text"), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pc.invert(judge(batch.column(at), folder, window, share)["contaminated"]))
+
+    return docs.mapInArrow(run, docs.schema)

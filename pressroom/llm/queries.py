@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .unitcodes import tokenizer_file
 
@@ -13,6 +14,14 @@ def op1_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf}/documents.parquet"), window=35).drop("factors")
 
 
+def op2_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """A source is an owner, its texts of one language a repository."""
+    from .secret_scan import scan_secrets
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    return scan_secrets(docs, repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
+
+
 def op3_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     from .pii import find_personal
 
@@ -65,7 +74,7 @@ def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return join_similar(spark.read.parquet(f"{sf}/documents.parquet"), size=5, percent=75)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op3_personal_data, op4_warc_index, op5_token_files, op6_main_text, op7_decontamination, op8_quality, op9_packing,
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_secret_scan, op3_personal_data, op4_warc_index, op5_token_files, op6_main_text, op7_decontamination, op8_quality, op9_packing,
                                      op10_jaccard_join)}
 
 SQL: dict[str, str] = {
