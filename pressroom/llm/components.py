@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressroom.session import cut_lineage
+from .files import stage
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -15,15 +15,15 @@ def connected(edges: DataFrame) -> DataFrame:
     graph of the ends is smaller by half at least. All steps are joins and aggregates; the driver sees
     counts alone. Loops and repeated edges do no harm; without edges there are no rows.
     """
-    edges = cut_lineage(edges.select("a", "b").distinct())
+    edges = stage(edges.select("a", "b").distinct())
     labels = None
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        point = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b"))
+        point = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b"))
                             .select("node", F.least("node", "b").alias("label")))
         while True:  # follow the pointers to their ends
             ends = point.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            further = cut_lineage(point.join(ends, "label").select("node", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")))
+            further = stage(point.join(ends, "label").select("node", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")))
             point = further.select("node", "label")
             if not further.where("moved").head(1):
                 break
@@ -31,10 +31,10 @@ def connected(edges: DataFrame) -> DataFrame:
             labels = point
         else:
             names = point.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            labels = cut_lineage(labels.join(names, "label", "left").select("node", F.coalesce("next", "label").alias("label")))
+            labels = stage(labels.join(names, "label", "left").select("node", F.coalesce("next", "label").alias("label")))
         left = point.select(F.col("node").alias("a"), F.col("label").alias("x"))
         right = point.select(F.col("node").alias("b"), F.col("label").alias("y"))
-        edges = cut_lineage(edges.join(left, "a").join(right, "b").where("x != y")
+        edges = stage(edges.join(left, "a").join(right, "b").where("x != y")
                             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         if not edges.head(1):
             return labels

@@ -32,15 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressroom.session import cut_lineage
-
 from .arrays import PLAIN, Rolling, mix, word_slices
 from .components import connected
+from .files import stage
 
 CHUNK = 1000
 LEADERS = 16
-RANGE_CHARS = 25_000_000  # characters of text whose tokens make one hash range
-FLUSH = 2_000_000  # tokens a task packs at a time
+RANGE_CHARS = 10_000_000  # characters of text whose tokens make one hash range
+FLUSH = 3_000_000  # tokens a task packs at a time
 BROADCAST = 100_000  # rows of a narrow table that may be broadcast; larger ones are joined by shuffling
 PERMUTATIONS = 3
 _U = np.uint64
@@ -76,51 +75,68 @@ def signatures(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _pack(tokens: list[np.ndarray], counts: list[np.ndarray], names: list[np.ndarray], owners: list[np.ndarray],
           ranges: int) -> pa.RecordBatch:
-    """The tokens of some nodes by hash range: fingerprints, and which node each belongs to."""
+    """The tokens of some nodes by hash range: fingerprints, and which node each belongs to.
+
+    A token that two owners here have is known to be shared: it is counted for its nodes at once and sent on as
+    one entry without a node, so the entries of a token are at most one per batch or per node.
+    """
     value, count = np.concatenate(tokens), np.concatenate(counts)
-    name, owner = np.concatenate(names).astype("<i8").tobytes(), np.concatenate(owners).astype("<i8").tobytes()
+    names, owners = np.concatenate(names), np.concatenate(owners)
+    n = len(names)
+    owner = np.unique(owners, return_inverse=True)[1]
     order = np.argsort(value)
-    who = np.repeat(np.arange(len(count), dtype=np.uint32), count)[order]
+    who = np.repeat(np.arange(n), count)[order]
     value = value[order]
-    part = ((value >> _U(32)) * _U(ranges)) >> _U(32)
-    edge = np.searchsorted(part, np.arange(ranges + 1, dtype=_U))
+    first = np.ones(len(value), bool)
+    first[1:] = value[1:] != value[:-1]
+    head = np.maximum.accumulate(np.where(first, np.arange(len(value)), 0))
+    other = np.zeros(len(value), bool)
+    other[head[owner[who] != owner[who[head]]]] = True
+    known = other[head]
+    part = (((value >> _U(32)) * _U(ranges)) >> _U(32)).astype(np.int64)
+    kept = ~known | first
+    mine = np.where(known, n, who)[kept].astype("<u2" if n < 1 << 16 else "<u4")
+    low, edge = value[kept].astype(np.uint32), np.searchsorted(part[kept], np.arange(ranges + 1))
+    at, whole = who[known], np.searchsorted(part[known], np.arange(ranges + 1))
     full = np.flatnonzero(np.diff(edge))
-    low = value.astype(np.uint32)
-    cut = [(edge[i], edge[i + 1]) for i in full]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(full.astype(np.int32)), pa.array([name] * len(full), pa.binary()), pa.array([owner] * len(full), pa.binary()),
-         pa.array([low[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([who[a:b].tobytes() for a, b in cut], pa.binary())],
-        names=["part", "names", "owners", "prints", "who"])
+    local = [np.bincount(at[whole[i]:whole[i + 1]], minlength=n).astype("<u4").tobytes() if whole[i + 1] > whole[i] else b"" for i in full]
+    apart = b"" if names is owners or (names == owners).all() else owners.astype("<i8").tobytes()
+    columns = ([names.astype("<i8").tobytes()] * len(full), [apart] * len(full), [low[edge[i]:edge[i + 1]].tobytes() for i in full],
+               [mine[edge[i]:edge[i + 1]].tobytes() for i in full], local)
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array(c, pa.binary()) for c in columns)],
+                                      names=["part", "names", "owners", "prints", "who", "local"])
 
 
-_PACKED = "part int, names binary, owners binary, prints binary, who binary"
+_PACKED = "part int, names binary, owners binary, prints binary, who binary, local binary"
 
 
 def _count_shared(table: pa.Table) -> pa.Table:
     """Of one hash range: per node, its tokens that nodes of another owner have too."""
-    names, owners, prints, who, at = [], [], [], [], 0
-    for _, n, o, p, w in zip(*(c.to_pylist() for c in table.columns), strict=True):
-        names.append(np.frombuffer(n, "<i8"))
-        owners.append(np.frombuffer(o, "<i8"))
-        prints.append(np.frombuffer(p, np.uint32))
-        who.append(np.frombuffer(w, np.uint32).astype(np.int64) + at)
-        at += len(names[-1])
+    names, owners, prints, who, local, at = [], [], [], [], [], 0
+    for row in zip(*(table.column(c) for c in ("names", "owners", "prints", "who", "local")), strict=True):
+        name, owner, low, index, known = (np.frombuffer(x.as_buffer(), np.uint8) for x in row)
+        names.append(name.view("<i8"))
+        owners.append(owner.view("<i8") if len(owner) else names[-1])
+        prints.append(low.view(np.uint32))
+        index = index.view("<u2" if 2 * len(index) == len(low) else "<u4")
+        n = len(names[-1])
+        who.append(np.where(index == n, -1, index.astype(np.int32) + at).astype(np.int32))
+        local.append(known.view("<u4").astype(np.int64) if len(known) else np.zeros(n, np.int64))
+        at += n
     node, code = np.unique(np.concatenate(names), return_inverse=True)
-    owner = np.zeros(len(node), np.int64)
-    owner[code] = np.unique(np.concatenate(owners), return_inverse=True)[1]
-    prints, code = np.concatenate(prints).astype(_U) << _U(32), code[np.concatenate(who)]
-    pair = np.unique(prints | owner[code].astype(_U)) >> _U(32)
-    many = np.unique(pair[1:][pair[1:] == pair[:-1]])  # fingerprints of two owners or more
-    mine = np.unique(prints | code.astype(_U))
-    value = mine >> _U(32)
+    owner = np.unique(np.concatenate(owners), return_inverse=True)[1]
+    prints, who, counts = np.concatenate(prints), np.concatenate(who), np.concatenate(local)
+    pair = np.unique((prints[who >= 0].astype(_U) << _U(32)) | owner[who[who >= 0]].astype(_U))
+    pair = (pair >> _U(32)).astype(np.uint32)
+    many = np.unique(np.concatenate([pair[1:][pair[1:] == pair[:-1]], prints[who < 0]]))
     if len(many):
-        place = np.minimum(np.searchsorted(many, value), len(many) - 1)
-        mine = mine[many[place] == value]
-    else:
-        mine = mine[:0]
-    shared = np.bincount((mine & _U(0xFFFFFFFF)).astype(np.int64), minlength=len(node))
+        prints, who = prints[who >= 0], who[who >= 0]
+        place = np.minimum(np.searchsorted(many, prints), len(many) - 1)
+        counts += np.bincount(who[many[place] == prints], minlength=len(counts))
+    shared = np.zeros(len(node), np.int64)
+    np.maximum.at(shared, code, counts)  # copies of a node have the same count
     some = np.flatnonzero(shared)
-    return pa.table({"node": node[some], "shared": shared[some].astype(np.int64)})
+    return pa.table({"node": node[some], "shared": shared[some]})
 
 
 def _shared(packed: DataFrame) -> DataFrame:
@@ -262,36 +278,66 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
 
 
-def join_similar(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, twin (a hash of the text), n_shingles, label of the component (null without words), component_id."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("twin"), text.alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     ranges = 1 + chars // RANGE_CHARS
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, tokens, offsets in shingles(batch.column(1), size):
+            for lo, hi, tokens, offsets in shingles(batch.column(2), size):
                 n = np.diff(offsets)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(signatures(tokens, offsets), mask=n == 0)],
-                    names=["doc_id", "n_shingles", "node"])
+                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n),
+                     pa.array(signatures(tokens, offsets), mask=n == 0)],
+                    names=["doc_id", "twin", "n_shingles", "node"])
 
-    sets = cut_lineage(rows.mapInArrow(describe, "doc_id long, n_shingles long, node long"))
-    nodes = cut_lineage(sets.where("node is not null").groupBy("node").agg(
+    sets = stage(rows.mapInArrow(describe, "doc_id long, twin long, n_shingles long, node long"))
+    nodes = stage(sets.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")))
-    edges = cut_lineage(_edges(rows, nodes, size, percent, ranges))
+    edges = stage(_edges(rows, nodes, size, percent, ranges))
     labels = connected(edges)
     members = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     named = members.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = members.join(named, "label").select("node", "component_id")
+    named = members.join(named, "label").select("node", "label", "component_id")
     return sets.join(named, "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        "doc_id", "twin", "n_shingles", "label",
+        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def join_similar(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    return _components(docs, size, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, the one of smallest id, with all its columns.
+
+    Repeated rows of that id and text are one document; rows of that id but another text of the component are
+    told apart by their text. Documents without words all stay.
+    """
+    text = F.col(text_col).cast("string")
+    twin = F.xxhash64(text)
+    joined = stage(_components(docs, size, percent, id_col, text_col).where("label is not null").select("doc_id", "twin", "label"))
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "twin")  # null ids last
+    best = joined.groupBy("label").agg(F.min(rank).alias("m")).select(
+        "label", F.col("m.doc_id").alias("best_id"), F.col("m.twin").alias("best_twin"))
+    told = stage(joined.join(best, "label").select(
+        "doc_id", "twin", (F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("twin") == F.col("best_twin"))).alias("best")))
+    left = _small(stage(told.where("not best").select(F.col("doc_id").alias("gone_id"), F.col("twin").alias("gone_twin")).distinct()))
+    kept = docs.join(left, docs[id_col].cast("long").eqNullSafe(left["gone_id"]) & (twin == left["gone_twin"]), "left_anti")
+    if told.where("best").groupBy("doc_id", "twin").count().where("count > 1").head(1):  # repeated rows
+        blank = text.isNull() | ~text.rlike(r"[^\x20\x09-\x0D]")
+        kept = kept.where(~blank).dropDuplicates([id_col, text_col]).unionAll(kept.where(blank))
+    return kept
 
 
 def _edges(rows: DataFrame, nodes: DataFrame, size: int, percent: int, ranges: int) -> DataFrame:
     bound = F.expr(f"100 * shared >= {percent} * n")
     # 1: what could link to anything at all
-    left = cut_lineage(_shared(_pack_texts(rows, size, ranges)).join(nodes, "node").where(bound).select("node", "doc_id", "n"))
+    left = stage(_shared(_pack_texts(rows, size, ranges)).join(nodes, "node").where(bound).select("node", "doc_id", "n"))
     wanted = _small(left.select(F.col("doc_id").alias("wanted_doc"), F.col("node").alias("wanted")))
     texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["wanted_doc"])).select("text", "wanted")
 
@@ -307,19 +353,19 @@ def _edges(rows: DataFrame, nodes: DataFrame, size: int, percent: int, ranges: i
                      pa.array([p.astype("<u8").tobytes() for p in parts], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                     names=["node", "n", "tokens", "keys"])
 
-    sets = cut_lineage(texts.mapInArrow(to_sets, "node long, n long, tokens binary, keys array<long>").dropDuplicates(["node"]))
+    sets = stage(texts.mapInArrow(to_sets, "node long, n long, tokens binary, keys array<long>").dropDuplicates(["node"]))
     # 2: groups around leaders
     keyed = sets.select("node", "tokens", F.posexplode("keys").alias("turn", "key"))
-    crowds = cut_lineage(sets.select(F.posexplode("keys").alias("turn", "key")).groupBy("turn", "key").count().where("count > 1"))
+    crowds = stage(sets.select(F.posexplode("keys").alias("turn", "key")).groupBy("turn", "key").count().where("count > 1"))
     chunked = keyed.join(_small(crowds), ["turn", "key"]).select(
         "turn", "key", F.pmod(F.xxhash64("node", "turn"), F.ceil(F.col("count") / CHUNK)).alias("chunk"), "node", "tokens")
-    links = cut_lineage(_link_to_leaders(
+    links = stage(_link_to_leaders(
         chunked.repartition("turn", "key", "chunk").sortWithinPartitions("turn", "key", "chunk", "node"), percent))
     groups = connected(links)
     # 3: between groups
     grouped = sets.join(_small(groups), "node", "left").select("node", "n", "tokens", F.coalesce("label", "node").alias("label"))
-    open_to = cut_lineage(_shared(_pack_sets(grouped, ranges)).join(sets.select("node", "n"), "node").where(bound).select("node"))
-    asking = cut_lineage(grouped.join(_small(open_to), "node", "left_semi"))
+    open_to = stage(_shared(_pack_sets(grouped, ranges)).join(sets.select("node", "n"), "node").where(bound).select("node"))
+    asking = stage(grouped.join(_small(open_to), "node", "left_semi"))
 
     def to_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,13 +375,13 @@ def _edges(rows: DataFrame, nodes: DataFrame, size: int, percent: int, ranges: i
                                                  names=["token", "node", "label"])
 
     tokens = asking.select("node", "label", "tokens").mapInArrow(to_tokens, "token long, node long, label long")
-    matrix = cut_lineage(tokens.select("token", "label").distinct())
-    common = cut_lineage(matrix.groupBy("token").agg(F.count("*").alias("groups")))
+    matrix = stage(tokens.select("token", "label").distinct())
+    common = stage(matrix.groupBy("token").agg(F.count("*").alias("groups")))
     ranked = tokens.join(common, "token").join(asking.select("node", "n"), "node").selectExpr(
         "node", "label", "token", "n", "groups", "row_number() over (partition by node order by groups, token) as rank")
     rare = ranked.where(f"rank <= n - ceil({percent} * n / 100) + 1 and groups > 1").select("node", "label", "token")
     held = matrix.select("token", F.col("label").alias("other"))
-    ask = cut_lineage(rare.join(held, "token").where("other < label").select("node", "other").distinct())
+    ask = stage(rare.join(held, "token").where("other < label").select("node", "other").distinct())
     # members in chunks, and every asking node once for each chunk of the groups it asks
     sizes = asking.groupBy("label").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     members = asking.join(sizes, "label").select(
