@@ -6,9 +6,9 @@ a group holds, and a node can only link into a group whose union holds ``thresho
 1. One node against the union of all others: tokens are dealt out by hash range, as packed arrays of 32-bit
    fingerprints (an accidental match only opens too much), and each range counts for its nodes the tokens that
    another node has too. Nodes below the bound have no partner. This is all the work on the whole corpus.
-2. Groups: nodes that are left meet under a few min-hashes, in chunks of at most ``CHUNK``; central
-   nodes of a chunk become leaders, and nodes that reach the threshold with a leader are linked to it. Linked
-   nodes are a group. This may miss links, never adds one.
+2. Groups: nodes that are left meet under a few min-hashes, in chunks of about ``CHUNK``; from the
+   most central on, each node of a chunk that no leader has reached becomes a leader, and is linked to all nodes of the
+   chunk that reach the threshold with it. Linked nodes are a group. This may miss links, never adds one.
 3. The matrix between groups: the bound of step 1 again, now against the union of other groups. For the nodes left, the
    rarest ``1 - threshold`` of their tokens name the groups that can hold a partner; only these are opened, a
    chunk of members at a time, and checked exactly. A node needs one link into a group, since the group's
@@ -37,9 +37,9 @@ from .components import connected
 from .files import stage
 
 CHUNK = 1000
-LEADERS = 16
 RANGE_CHARS = 10_000_000  # characters of text whose tokens make one hash range
-FLUSH = 3_000_000  # tokens a task packs at a time
+LEAST_RANGES = 128
+FLUSH = 1_500_000  # tokens a task packs at a time
 BROADCAST = 100_000  # rows of a narrow table that may be broadcast; larger ones are joined by shuffling
 PERMUTATIONS = 3
 _U = np.uint64
@@ -85,15 +85,15 @@ def _pack(tokens: list[np.ndarray], counts: list[np.ndarray], names: list[np.nda
     n = len(names)
     owner = np.unique(owners, return_inverse=True)[1]
     order = np.argsort(value)
-    who = np.repeat(np.arange(n), count)[order]
+    who = np.repeat(np.arange(n, dtype=np.int32), count)[order]
     value = value[order]
     first = np.ones(len(value), bool)
     first[1:] = value[1:] != value[:-1]
-    head = np.maximum.accumulate(np.where(first, np.arange(len(value)), 0))
+    head = np.maximum.accumulate(np.where(first, np.arange(len(value), dtype=np.int32), 0))
     other = np.zeros(len(value), bool)
     other[head[owner[who] != owner[who[head]]]] = True
     known = other[head]
-    part = (((value >> _U(32)) * _U(ranges)) >> _U(32)).astype(np.int64)
+    part = (((value >> _U(32)) * _U(ranges)) >> _U(32)).astype(np.int32)
     kept = ~known | first
     mine = np.where(known, n, who)[kept].astype("<u2" if n < 1 << 16 else "<u4")
     low, edge = value[kept].astype(np.uint32), np.searchsorted(part[kept], np.arange(ranges + 1))
@@ -228,7 +228,6 @@ def _link_to_leaders(rows: DataFrame, percent: int) -> DataFrame:
             group = np.cumsum(np.diff(index.value, prepend=index.value[:1]) != 0)
             central = np.bincount(index.who, spread[group], len(sets)) / np.maximum(index.sizes, 1)
             order, free = np.argsort(-central, kind="stable"), np.ones(len(sets), bool)
-            leaders = 0
             for i in order:
                 if not free[i]:
                     continue
@@ -237,9 +236,6 @@ def _link_to_leaders(rows: DataFrame, percent: int) -> DataFrame:
                 free[linked] = False
                 a += [nodes[j] for j in linked if j != i]
                 b += [nodes[i]] * (len(linked) - 1)
-                leaders += 1
-                if leaders == LEADERS:
-                    break
             if len(a) > 10_000:
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
                 a, b = [], []
@@ -283,7 +279,7 @@ def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col:
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("twin"), text.alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    ranges = 1 + chars // RANGE_CHARS
+    ranges = max(LEAST_RANGES, 1 + chars // RANGE_CHARS)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
