@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +57,13 @@ def stage(df: DataFrame) -> DataFrame:
         return cut_lineage(df)
     finally:
         conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+
+
+def tidy() -> None:
+    """Give the memory that a finished task's arrays have left free back to the system.
+
+    Python workers live on for later tasks, beside other workers and the executor's own heap.
+    """
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)

@@ -10,9 +10,9 @@ a group holds, and a node can only link into a group whose union holds ``thresho
    most central on, each node of a chunk that no leader has reached becomes a leader, and is linked to all nodes of the
    chunk that reach the threshold with it. Linked nodes are a group. This may miss links, never adds one.
 3. The matrix between groups: the bound of step 1 again, now against the union of other groups. For the nodes left, the
-   rarest ``1 - threshold`` of their tokens name the groups that can hold a partner; only these are opened, a
-   chunk of members at a time, and checked exactly. A node needs one link into a group, since the group's
-   members are connected.
+   rarest ``1 - threshold`` of their tokens name the cells of similar nodes that can hold a partner; only these
+   are opened, at most about ``CHUNK`` members each, and checked exactly. A node needs one link into a group, since the
+   group's members are connected.
 
 So every link between different components is found, and none is listed inside one. A group of any size is
 spread over chunks, and its tokens are one entry in the matrix.
@@ -34,12 +34,12 @@ from pyspark.sql import functions as F
 
 from .arrays import PLAIN, Rolling, mix, word_slices
 from .components import connected
-from .files import stage
+from .files import stage, tidy
 
 CHUNK = 1000
 RANGE_CHARS = 10_000_000  # characters of text whose tokens make one hash range
 LEAST_RANGES = 128
-FLUSH = 1_500_000  # tokens a task packs at a time
+FLUSH = 1_000_000  # tokens a task packs at a time
 BROADCAST = 100_000  # rows of a narrow table that may be broadcast; larger ones are joined by shuffling
 PERMUTATIONS = 3
 _U = np.uint64
@@ -136,6 +136,8 @@ def _count_shared(table: pa.Table) -> pa.Table:
     shared = np.zeros(len(node), np.int64)
     np.maximum.at(shared, code, counts)  # copies of a node have the same count
     some = np.flatnonzero(shared)
+    del names, owners, prints, who, local, pair, counts
+    tidy()
     return pa.table({"node": node[some], "shared": shared[some]})
 
 
@@ -159,6 +161,7 @@ def _pack_texts(rows: DataFrame, size: int, ranges: int) -> DataFrame:
         if many:
             t, c, n = zip(*held, strict=True)
             yield _pack(t, c, n, n, ranges)
+        tidy()
 
     return rows.select("text").mapInArrow(run, _PACKED)
 
@@ -244,27 +247,30 @@ def _link_to_leaders(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _open_groups(rows: DataFrame, percent: int) -> DataFrame:
-    """Edges from asking nodes to the first member they reach in each chunk of an opened group.
+def _open_cells(rows: DataFrame, percent: int) -> DataFrame:
+    """Edges from asking nodes to one similar member of each other group in a cell.
 
-    Rows: label, chunk, asks, node, tokens; the members of a chunk come before the nodes that ask.
+    Rows: crowd, chunk, asks, node, label, tokens; the members of a cell come before the nodes that ask.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, members, index = None, [], None
+        last, members, index, labels = None, [], None, None
         for batch in batches:
             a, b = [], []
-            for label, chunk, asks, node, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (label, chunk) != last:
-                    last, members, index = (label, chunk), [], None
+            for crowd, chunk, asks, node, label, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (crowd, chunk) != last:
+                    last, members, index = (crowd, chunk), [], None
                 if not asks:
-                    members.append((node, np.frombuffer(raw, "<u8")))
+                    members.append((node, label, np.frombuffer(raw, "<u8")))
                     continue
                 if index is None:
-                    index = Sets([t for _, t in members])
-                if len(members) and len(hit := index.similar(np.frombuffer(raw, "<u8"), percent)):
+                    index, labels = Sets([t for *_, t in members]), np.array([x for _, x, _ in members], np.int64)
+                hit = index.similar(np.frombuffer(raw, "<u8"), percent)
+                hit = hit[labels[hit] != label]
+                for i in hit[np.unique(labels[hit], return_index=True)[1]].tolist():
                     a.append(node)
-                    b.append(members[hit[0]][0])
+                    b.append(members[i][0])
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        tidy()
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -375,15 +381,17 @@ def _edges(rows: DataFrame, nodes: DataFrame, size: int, percent: int, ranges: i
     common = stage(matrix.groupBy("token").agg(F.count("*").alias("groups")))
     ranked = tokens.join(common, "token").join(asking.select("node", "n"), "node").selectExpr(
         "node", "label", "token", "n", "groups", "row_number() over (partition by node order by groups, token) as rank")
-    rare = ranked.where(f"rank <= n - ceil({percent} * n / 100) + 1 and groups > 1").select("node", "label", "token")
-    held = matrix.select("token", F.col("label").alias("other"))
-    ask = stage(rare.join(held, "token").where("other < label").select("node", "other").distinct())
-    # members in chunks, and every asking node once for each chunk of the groups it asks
-    sizes = asking.groupBy("label").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    members = asking.join(sizes, "label").select(
-        "label", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"), F.lit(0).alias("asks"), "node", "tokens")
-    asks = (ask.join(sizes, ask["other"] == sizes["label"]).select("label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"),
-                                                                   F.lit(1).alias("asks"), "node")
-            .join(asking.select("node", "tokens"), "node").select("label", "chunk", "asks", "node", "tokens"))
-    opened = members.unionAll(asks).repartition("label", "chunk").sortWithinPartitions("label", "chunk", "asks", "node")
-    return links.unionAll(_open_groups(opened, percent)).select("a", "b")
+    rare = stage(ranked.where(f"rank <= n - ceil({percent} * n / 100) + 1 and groups > 1").select("node", "label", "token"))
+    # nodes that share rare tokens are a crowd, a part of a crowd is a cell: the matrix tells which cells hold a token
+    hubs = rare.groupBy("token").agg(F.min("node").alias("hub"))
+    crowds = connected(rare.join(hubs, "token").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    cells = asking.select("node").join(crowds, "node", "left").select("node", F.coalesce("label", "node").alias("crowd"))
+    sizes = cells.groupBy("crowd").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    cells = stage(cells.join(sizes, "crowd").select("node", "crowd", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk")))
+    held = tokens.select("token", "node").join(cells, "node").select("token", "crowd", "chunk").distinct()
+    ask = stage(rare.select("node", "token").join(held, "token").select("node", "crowd", "chunk").distinct())
+    order = ["crowd", "chunk", "asks", "node"]
+    members = asking.join(cells, "node").select("crowd", "chunk", F.lit(0).alias("asks"), "node", "label", "tokens")
+    asks = asking.join(ask, "node").select("crowd", "chunk", F.lit(1).alias("asks"), "node", "label", "tokens")
+    opened = members.unionAll(asks).repartition("crowd", "chunk").sortWithinPartitions(*order)
+    return links.unionAll(_open_cells(opened, percent)).select("a", "b")
