@@ -156,11 +156,12 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 12, id_col: st
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.hash(text_col).alias("twin"), F.col(text_col).cast("string").alias("text"))
     found = _anchor_rows(rows, window, gram)
-    shared = found.groupBy("anchor").count().where("count > 1").select("anchor")
+    # written, so that both sides of the joins are plain shuffles, which the skew join can split
+    shared = stage(found.groupBy("anchor").count().where("count > 1").select("anchor"))
     found = stage(found.join(shared, "anchor", "left_semi"))
     blocks = stage(found.groupBy("anchor", "block").agg(
         F.count("*").alias("n"), F.min(F.struct("doc_id", "twin", "pos", "places")).alias("at")))
-    several = blocks.groupBy("anchor").count().where("count > 1").select("anchor")
+    several = stage(blocks.groupBy("anchor").count().where("count > 1").select("anchor"))
     asked = (blocks.join(several, "anchor", "left_semi")
              .groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.twin").alias("twin"))
              .agg(F.collect_list(F.struct("anchor", "block", F.col("at.pos").alias("pos"), "n",
@@ -169,7 +170,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = 12, id_col: st
     # repeated rows all answer: their blocks count two places or more already, so no total passes one by that
     some = rows.join(asked, same(rows, asked)).select(rows["text"], asked["asked"])
     windows = stage(_boundary_windows(some, window))
-    twice = windows.groupBy("anchor", "hash").agg(F.sum("n").alias("total")).where("total > 1").select("anchor", "hash")
+    twice = stage(windows.groupBy("anchor", "hash").agg(F.sum("n").alias("total")).where("total > 1").select("anchor", "hash"))
     partial = (windows.where("n = 1").join(twice, ["anchor", "hash"], "left_semi").groupBy("anchor", "block")
                .agg(F.expr("bit_or(shiftleft(1L, place))").alias("mask")))
     whole = F.expr("shiftleft(1L, int(at.places div 64 + 1)) - shiftleft(1L, int(at.places % 64))")
