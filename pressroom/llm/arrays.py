@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 _SEED = np.random.default_rng(20240229)
 _BYTES = _SEED.integers(0, 1 << 64, 256, dtype=np.uint64)
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)

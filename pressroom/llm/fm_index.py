@@ -1,6 +1,6 @@
 """Benchmark phrases in training texts, found by an FM-index per shard.
 
-A shard is an Arrow batch of documents. A word outside the benchmark's vocabulary can't lie in an
+A shard is a run of ``SHARD`` documents. A word outside the benchmark's vocabulary can't lie in an
 occurrence, so the shard's text is its runs of vocabulary words that are long enough for the shortest
 phrase, with a separator after each. Its suffix array gives the Burrows-Wheeler transform, kept as a
 wavelet matrix with ranks; all phrases are searched backwards at once, one rank for each bit of a word;
@@ -33,6 +33,7 @@ from .arrays import ALNUM, Rolling, cover, mix, word_slices
 
 PIECE = 32 << 20
 SAMPLE = 8
+SHARD = 2000  # documents of an index
 HITS = ("doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
         "spans array<struct<start: int, end: int>>")
 
@@ -273,8 +274,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = judge(batch.column(1), folder, window, share)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *got.values()], names=["doc_id", *got])
+            for lo in range(0, batch.num_rows, SHARD):
+                part = batch.slice(lo, SHARD)
+                got = judge(part.column(1), folder, window, share)
+                yield pa.RecordBatch.from_arrays([part.column(0), *got.values()], names=["doc_id", *got])
+        files.tidy()
 
     return rows.mapInArrow(run, HITS)
 
@@ -286,6 +290,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pc.invert(judge(batch.column(at), folder, window, share)["contaminated"]))
+            for lo in range(0, batch.num_rows, SHARD):
+                part = batch.slice(lo, SHARD)
+                yield part.filter(pc.invert(judge(part.column(at), folder, window, share)["contaminated"]))
+        files.tidy()
 
     return docs.mapInArrow(run, docs.schema)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import _BYTES, PLAIN, Rolling, Words, byte_set, cover, mix, per_text, word_slices
+from .files import tidy
 from .fm_index import suffix_array
 
 SYMBOL = byte_set(*((ord(c), ord(c)) for c in "#*$%&|<>"))
@@ -120,6 +121,7 @@ def quality(docs: DataFrame, min_words: int = 50, max_repeat_words: float = 0.5,
             got = judge(batch.column(1), min_words, max_repeat_words, min_repeat, max_covered, max_repeat, max_repeat_share)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v) for v in got.values())],
                                              names=["doc_id", *got])
+        tidy()
 
     return rows.mapInArrow(run, KIND)
 
@@ -138,5 +140,6 @@ def keep_good(docs: DataFrame, **rules) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(judge(batch.column(at), **limits)["kept"]))
+        tidy()
 
     return docs.mapInArrow(run, kind)
