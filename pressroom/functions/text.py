@@ -41,18 +41,20 @@ def _entity_value(name: Column) -> Column:
     """Character an entity stands for: HTML 4 names and any numeric reference."""
     named = F.create_map(*[F.lit(x) for k, v in sorted(name2codepoint.items()) for x in (k, chr(v))],
                          F.lit("apos"), F.lit("'"))
-    digits = F.when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10)) \
-        .when(name.startswith("#"), F.substr(name, F.lit(2))).cast("long")
+    number = F.regexp_replace(name, "^#[xX]?0*", "")  # more than eight digits are beyond any character
+    fits = name.startswith("#") & (F.length(number) <= 8)
+    digits = F.when(fits & name.rlike("^#[xX]"), F.conv(F.concat(F.lit("0"), number), 16, 10)) \
+        .when(fits, F.concat(F.lit("0"), number)).cast("long")
     usable = digits.between(1, 0xD7FF) | digits.between(0xE000, 0x10FFFF)
     numeric = F.when(usable, F.decode(F.unhex(F.lpad(F.hex(digits), 8, "0")), "UTF-32")) \
-        .when(digits.isNotNull(), F.lit("\uFFFD"))
+        .when(name.startswith("#"), F.lit("\uFFFD"))
     return F.coalesce(F.try_element_at(named, name), numeric, F.concat(F.lit("&"), name, F.lit(";")))
 
 
 def decode_entities(text: Column) -> Column:
     """Replace each distinct entity once; those for "&" last, so none is decoded twice."""
     found = F.array_distinct(F.regexp_extract_all(
-        text, F.lit("&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"), 1))
+        text, F.lit("&(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);"), 1))
     pairs = F.transform(found, lambda n: F.struct(
         (_entity_value(n) == "&").alias("last"), F.concat(F.lit("&"), n, F.lit(";")).alias("entity"),
         _entity_value(n).alias("value")))

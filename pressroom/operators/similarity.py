@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import cosine
+from ..functions.numbers import cosine, dot
 
 # Most categories handed to every task at once; 512 vectors of 1,024 doubles are 4 MB.
 CATEGORY_LIMIT = 512
@@ -23,8 +23,10 @@ def top_categories(articles: DataFrame, categories: DataFrame, keep: int = 5,
     ``articles`` has vec_id and embedding; ``categories`` pos, name and embedding. Ties go
     to the lower position. Up to ``limit`` categories (checked) are shipped with the tasks
     and no row is shuffled. A longer list is cut into blocks of at most that many; each
-    article meets each block once and the blocks' best are merged.
+    article meets each block once and the blocks' best are merged. An article whose vector is null
+    or of norm 0 has null tags; such a category is near to none.
     """
+    categories = categories.where(dot(F.col("embedding"), F.col("embedding")) > 0)
     listed = categories.select("pos", "name", "embedding").limit(limit + 1).collect()
     if len(listed) <= limit:
         return articles.withColumn("tags", _nearest(sorted(listed, key=lambda c: c["pos"]), keep)(F.col("embedding")))
@@ -33,15 +35,20 @@ def top_categories(articles: DataFrame, categories: DataFrame, keep: int = 5,
 
 def _nearest(listed: list, keep: int) -> Callable[[Column], Column]:
     names = [c["name"] for c in listed]
-    matrix = np.array([c["embedding"] for c in listed], dtype=float)
+    matrix = np.array([c["embedding"] for c in listed], dtype=float).reshape(len(listed), -1)
     matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
 
     @F.pandas_udf("array<string>")
     def nearest(vectors: pd.Series) -> pd.Series:
-        x = np.vstack([np.asarray(v, dtype=float) for v in vectors])
-        close = np.round(x @ matrix.T / np.linalg.norm(x, axis=1, keepdims=True), PLACES)
-        order = np.argsort(-close, axis=1, kind="stable")[:, :keep]
-        return pd.Series([[names[k] for k in row] for row in order])
+        tags = pd.Series([None] * len(vectors), dtype=object)
+        use = [i for i, v in enumerate(vectors) if v is not None and np.any(v)]
+        if use:
+            x = np.vstack([np.asarray(vectors.iloc[i], dtype=float) for i in use])
+            close = np.round(x @ matrix.T / np.linalg.norm(x, axis=1, keepdims=True), PLACES) if names else np.zeros((len(use), 0))
+            order = np.argsort(-close, axis=1, kind="stable")[:, :keep]
+            for i, row in zip(use, order, strict=True):
+                tags.iat[i] = [names[k] for k in row]
+        return tags
 
     return nearest
 
@@ -59,8 +66,9 @@ def _by_blocks(articles: DataFrame, categories: DataFrame, keep: int, limit: int
         .select("vec_id", F.slice(F.array_sort(near), 1, keep).alias("_best"))
     merged = partial.groupBy("vec_id").agg(F.slice(
         F.array_sort(F.flatten(F.collect_list("_best"))), 1, keep).alias("_best"))
-    tags = merged.select("vec_id", F.transform("_best", lambda c: c["name"]).alias("tags"))
-    return articles.join(tags, "vec_id")
+    tags = merged.select("vec_id", F.transform("_best", lambda c: c["name"]).alias("tags")) \
+        .join(articles.where(dot(F.col("embedding"), F.col("embedding")) > 0).select("vec_id"), "vec_id", "left_semi")
+    return articles.join(tags, "vec_id", "left")
 
 
 def embed(df: DataFrame, text: str, encoder: Callable[[list[str]], np.ndarray], out: str = "embedding") -> DataFrame:

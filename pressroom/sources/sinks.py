@@ -33,7 +33,8 @@ def append_log(rows: DataFrame, path: str, batch: str) -> None:
 
 
 def archive_articles(articles: DataFrame, path: str) -> None:
-    """Store articles under their day of creation and key; the same key replaces itself.
+    """Store articles under their day of creation and key; the same key replaces itself,
+    by the later update; of equal ones what comes in replaces what is stored.
 
     Only the days met are rewritten, together with what they already hold, and from a
     staged copy, so a failed write loses nothing.
@@ -42,13 +43,14 @@ def archive_articles(articles: DataFrame, path: str) -> None:
     by = ["year", "month", "day"]
     new = articles.withColumns({
         **D.day_parts(F.col("createdat")), "archive_key": D.archive_key(F.col("createdat"), F.col("link"))})
+    both = new.withColumn("_incoming", F.lit(True))
     if exists(spark, path):
         old = spark.read.schema(new.schema).parquet(path)
         old = old.join(F.broadcast(new.select(*by).distinct()), by, "left_semi")  # bounded by the calendar
-        new = old.unionByName(new)
+        both = both.unionByName(old.withColumn("_incoming", F.lit(False)))
     content = F.md5(F.to_json(F.struct(*articles.columns)))
-    best = latest(new.withColumn("_content", content), [*by, "archive_key"], ["updatedat", "feedurl", "_content"])
-    _replace_partitions(cut_lineage(best.drop("_content")), path, by)
+    best = latest(both.withColumn("_content", content), [*by, "archive_key"], ["updatedat", "feedurl", "_incoming", "_content"])
+    _replace_partitions(cut_lineage(best.drop("_incoming", "_content")), path, by)
 
 
 def reject(rows: DataFrame, path: str, batch: str) -> None:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import docs as D
 from ..operators import enrich as E
 from ..operators import linear as L
 from ..operators import merge as M
@@ -81,7 +82,7 @@ def _interactions(batch: DataFrame) -> DataFrame:
         text("_id").alias("id"), text("title").alias("title"), F.coalesce(text("summary"), F.lit("")).alias("summary"),
         # a missing isSaved is not false, hence counts as liked
         flag("isSaved").alias("issaved"), flag("isLiked").alias("isliked"),
-        F.try_variant_get("_doc", "$.score", "variant").alias("score"))
+        D.truthy(F.col("_doc"), "score").alias("scored"))
 
 
 def trainer(spark: SparkSession, store: str, rows: Callable[[], DataFrame], settings: L.Descent = L.SETTINGS,
@@ -98,8 +99,9 @@ def trainer(spark: SparkSession, store: str, rows: Callable[[], DataFrame], sett
         cold = users
         parts = []
         if known is not None and not from_scratch:
-            warm = users.join(known.meta, USER, "left_semi")
-            cold = users.join(known.meta, USER, "left_anti")
+            trained = known.meta.where("status = 'trained'")
+            warm = users.join(trained, USER, "left_semi")
+            cold = users.join(trained, USER, "left_anti")
             parts.append(P.update(known, good.join(warm, USER, "left_semi"), settings))
         cold = cut_lineage(cold)
         if not cold.isEmpty():
@@ -118,7 +120,7 @@ def trainer(spark: SparkSession, store: str, rows: Callable[[], DataFrame], sett
 def scorer(spark: SparkSession, store: str, articles_root: str) -> Handler:
     """Score messages without a score and write the scores into the reader articles, by id."""
     def handle(batch: DataFrame, batch_id: int) -> DataFrame:
-        seen = _interactions(batch).where("score is null")
+        seen = _interactions(batch).where("not scored")
         known = versions.load_models(spark, store)
         if known is None:
             return seen.select(F.col("row_key").alias("message_id"), F.lit("no model").alias("error"))
