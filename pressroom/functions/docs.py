@@ -63,5 +63,11 @@ def event_key(collection: Column, user: Column, operation: Column, at: Column, m
                                 F.lit(".json")))
 
 
+def timestamp_of(text: Column) -> Column:
+    """Timestamp of an ISO date or a mail date (``Mon, 05 Aug 2024 10:00:00 GMT``), null for any other text."""
+    mail = F.regexp_replace(F.regexp_replace(F.trim(text), "^[A-Za-z]{3}, *", ""), " (?:GMT|UTC?|Z)$", " +0000")
+    return F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm[:ss] xx")))
+
+
 def iso_timestamp(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")

@@ -14,7 +14,6 @@ DROPPED = ("dd", "form", "select", "iframe", "canvas", "svg", "map", "nav", "obj
 SPACE = "\\t\\n\\x0B\\f\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}"
 # Unicode non-characters stand for the start and end of a dropped element.
 OPEN, CLOSE = "\uFDD0", "\uFDD1"
-NESTING = 8
 MIN_TEXT = 100
 MIN_SUMMARY = 50
 WORD = "[\\p{L}\\p{N}_]{2,}"
@@ -62,12 +61,31 @@ def decode_entities(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), replaced).otherwise(text)
 
 
+def _outside_pairs(page: Column) -> Column:
+    """Drop what lies between an OPEN and its CLOSE.
+
+    ``opens`` holds how many pieces were kept when each bracket that is still open came.
+    """
+    pieces = F.split(page, f"(?=[{OPEN}{CLOSE}])")
+    start = F.struct(F.array().cast("array<int>").alias("opens"), F.array().cast("array<string>").alias("kept"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        opens, kept, one = acc["opens"], acc["kept"], F.array(piece)
+        n = F.size(opens)
+        opened = F.struct(F.concat(opens, F.array(F.size(kept))).alias("opens"), F.concat(kept, one).alias("kept"))
+        closed = F.struct(F.slice(opens, F.lit(1), n - 1).alias("opens"),
+                          F.concat(F.slice(kept, F.lit(1), F.get(opens, n - 1)), one).alias("kept"))
+        plain = F.struct(opens.alias("opens"), F.concat(kept, one).alias("kept"))
+        return F.when(piece.startswith(OPEN), opened).when(piece.startswith(CLOSE) & (n > 0), closed).otherwise(plain)
+
+    return F.aggregate(pieces, start, step, lambda acc: F.array_join(acc["kept"], ""))
+
+
 def html_to_text(html: Column) -> Column:
     """Text of a page body without dropped elements and links, white space collapsed.
 
-    Dropped elements become bracket characters first and are then removed from
-    the inside out, so elements nested up to ``NESTING`` deep go completely. An
-    opening tag that never closes loses only the tag.
+    Dropped elements become bracket characters first; what lies between a pair goes,
+    however deep it is nested. A tag without its partner loses only the tag.
     """
     names = "|".join(DROPPED)
     page = F.regexp_replace(
@@ -81,8 +99,9 @@ def html_to_text(html: Column) -> Column:
         page, "(?is)<dd(?:\\s[^>]*)?>.*?(?=<d[dt][\\s>]|</dl\\s*>|\\z)", "")).otherwise(page)
     page = F.regexp_replace(page, f"(?i)<(?:{names})(?:\\s[^>]*|/)?>", OPEN)
     page = F.regexp_replace(page, f"(?i)</(?:{names})\\s*>", CLOSE)
-    for _ in range(NESTING):
+    for _ in range(2):  # most elements are flat and go at once
         page = F.regexp_replace(page, f"{OPEN}[^{OPEN}{CLOSE}]*{CLOSE}", "")
+    page = _let(page, lambda p: F.when(F.contains(p, F.lit(CLOSE)), _outside_pairs(p)).otherwise(p))
     page = F.regexp_replace(page, f"[{OPEN}{CLOSE}]|</?[a-zA-Z][^>]*>|<[!?][^>]*>", "")
     return collapse_space(strip_urls(decode_entities(page)))
 

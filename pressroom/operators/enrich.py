@@ -32,7 +32,7 @@ def parse_articles(df: DataFrame, body: str = "body") -> DataFrame:
         if declared == "timestamp!":
             millis = F.try_variant_get(doc, f"$.{name}", "double")
             value = F.when(k == "VOID", F.timestamp_millis(F.lit(0))) \
-                .when(k == "STRING", F.try_to_timestamp(D.text_of(doc, name))) \
+                .when(k == "STRING", D.timestamp_of(D.text_of(doc, name))) \
                 .when(k == "BOOLEAN", F.timestamp_millis(
                     F.try_variant_get(doc, f"$.{name}", "boolean").cast("long"))) \
                 .when(millis.isNotNull(), F.timestamp_millis(millis.cast("long")))

@@ -328,7 +328,7 @@ QUERIES: dict[str, str] = {
                 '<nav[^>]*>.*?</nav>', '', 'gsi'), '<[^>]*>', '', 'gs'),
                 '&middot;', chr(183)), '&copy;', chr(169)), '&quot;', '"'), '&amp;', '&'),
                 'https?://[^\t\n\f\r ]+', '', 'g'), '{SPACE}+', ' ', 'g') AS text
-            FROM usable_pages)""",
+            FROM (SELECT page_id, coalesce(html, '') AS html FROM pages))""",
     "strip_urls": r"""
         SELECT doc_id, regexp_replace(replace(text, chr(10), ' http://ex.test/line' || chr(10)) || ' https://ex.test/'
                || doc_id || ' end', 'https?://[^\t\n\x0B\f\r ]+', '', 'g') AS text FROM documents""",

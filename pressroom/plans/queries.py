@@ -102,9 +102,10 @@ def fetchable_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def clean_pages(spark: SparkSession, sf: str) -> DataFrame:
-    p = W.pages(spark, sf)
-    usable = p.where(X.fetchable(F.col("content_type"), F.col("html")))
-    return usable.select("page_id", X.long_enough(X.html_to_text(F.col("html"))).alias("text"))
+    """All pages, each behind one of every dropped element and a menu nested twelve deep."""
+    menus = "".join(f"<{n}>lost</{n}>" for n in X.DROPPED) + "<nav>deep" * 12 + "</nav>after" * 11 + "</nav>"
+    body = F.concat(F.lit(menus), F.coalesce("html", F.lit("")))
+    return W.pages(spark, sf).select("page_id", X.long_enough(X.html_to_text(body)).alias("text"))
 
 
 def strip_urls(spark: SparkSession, sf: str) -> DataFrame:

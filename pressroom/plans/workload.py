@@ -103,10 +103,11 @@ def article_messages(spark: SparkSession, sf: str) -> DataFrame:
     a = _documents(spark, sf, summary=False).join(read(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left")
     def date(c):
         return D.iso_timestamp(F.col(c))
+    mail = F.date_format("pubdate", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
     body = F.to_json(F.struct(
         F.col("feedurl").alias("feedUrl"), F.when(F.col("title") != "", F.col("title")).alias("title"), F.col("link"),
         F.col("content"), F.when(~F.col("toxic").eqNullSafe(F.lit(1)), date("createdat")).alias("createdAt"),
         date("updatedat").alias("updatedAt"),
-        F.when(F.col("lang") == "es", "someday").otherwise(date("pubdate")).alias("pubDate"),
+        F.when(F.col("lang") == "es", "someday").when(F.col("lang") == "de", mail).otherwise(date("pubdate")).alias("pubDate"),
         F.col("textcontent").alias("textContent")))
     return a.select("doc_id", F.when(F.col("textcontent").isNull(), F.concat(F.lit("{"), body)).otherwise(body).alias("body"))

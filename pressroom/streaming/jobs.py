@@ -117,20 +117,33 @@ def trainer(spark: SparkSession, store: str, rows: Callable[[], DataFrame], sett
     return handle
 
 
-def scorer(spark: SparkSession, store: str, articles_root: str) -> Handler:
-    """Score messages without a score and write the scores into the reader articles, by id."""
+def scorer(spark: SparkSession, store: str, articles_root: str, outcomes: str | None = None) -> Handler:
+    """Score messages without a score and write the scores into the reader articles, by id.
+
+    A reader without a model is a result, not a failure: the message is used up. With ``outcomes``
+    the status of every message (scored, no_model) is written there under the batch id.
+    """
+    def note(statuses: DataFrame, batch_id: int) -> None:
+        if outcomes:
+            statuses.write.mode("overwrite").parquet(f"{outcomes}/batch={batch_id}")
+
     def handle(batch: DataFrame, batch_id: int) -> DataFrame:
         seen = _interactions(batch).where("not scored")
         known = versions.load_models(spark, store)
+        none = seen.where(F.lit(False)).select(F.col("row_key").alias("message_id"), F.lit("").alias("error"))
         if known is None:
-            return seen.select(F.col("row_key").alias("message_id"), F.lit("no model").alias("error"))
+            note(seen.select(F.col("row_key").alias("message_id"), F.lit("no_model").alias("status")), batch_id)
+            return none
         scored = cut_lineage(P.score(seen.select(USER, "row_key", "title", "summary"), known))
         by_id = seen.select("row_key", "id", "seq").join(scored.where("status = 'scored'"), "row_key")
-        updates = M.one_per_key(by_id.select("id", "score", "seq", "row_key"), ["id"], ["seq", "row_key"])
+        updates = cut_lineage(M.one_per_key(by_id.select("id", "score", "seq", "row_key"), ["id"], ["seq", "row_key"]))
+        note(scored.select(F.col("row_key").alias("message_id"), "status"), batch_id)
+        if updates.isEmpty():
+            return none  # nothing to write, so the table stays as it is
         table = versions.current(spark, articles_root)
         version = versions.current_version(spark, articles_root)
         versions.publish(M.update_all(table, updates, {"_id": "id"}, ["score"]), articles_root, version + 1)
-        return scored.where("status <> 'scored'").select(F.col("row_key").alias("message_id"), F.col("status").alias("error"))
+        return none
 
     return handle
 

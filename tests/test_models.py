@@ -172,6 +172,19 @@ def test_update_moves_towards_the_label(spark, models):
     assert before[0].score.like == pytest.approx(before[1].score.like, abs=0.2)
 
 
+def test_update_with_an_unknown_class_speaks_against_all(spark):
+    rows = [r for r in training(("u",)) if r[3] is not True]
+    m = P.train(spark.createDataFrame(rows, DDL), FAST)
+    before = m.meta.first()
+    assert list(before.classes) == [-1, 0]
+    batch = spark.createDataFrame([("u", "m1", 1, "football match", "team", False, True)],
+        "userid string, row_key string, seq int, title string, summary string, issaved boolean, isliked boolean")
+    new = P.update(m, batch)
+    after = new.meta.first()
+    assert after.neutral_b < before.neutral_b and after.labeled_count == before.labeled_count + 1
+    assert new.terms.count() == m.terms.count()
+
+
 def test_identified_counts_twice_when_liked_and_saved(spark):
     rows = spark.createDataFrame([("u", True, True, 0.9, 0.1), ("u", False, False, 0.1, 0.5), ("u", True, None, 0.3, 0.2),
                                   ("u", None, None, 0.9, 0.0)], "userid string, isliked boolean, issaved boolean, like double, dislike double")

@@ -67,11 +67,13 @@ def test_route_train_score(spark, tmp_path):
         if f.name not in docs.columns:
             docs = docs.selectExpr("*", f"cast(null as {f.dataType.simpleString()}) as {f.name}")
     versions.publish(docs.select(USER_ARTICLE_DOC.names), root, 1)
-    drain(spark, tmp_path, "scorer", score_q, J.scorer(spark, store, root))
+    drain(spark, tmp_path, "scorer", score_q, J.scorer(spark, store, root, str(tmp_path / "outcomes")))
     got = {r["_id"]: r.score for r in versions.current(spark, root).collect()}
     assert got["a2"] is None and got["a1"].like + got["a1"].neutral + got["a1"].dislike == pytest.approx(1.0)
-    rejected = spark.read.parquet(str(tmp_path / "rejects")).where("job = 'scorer'").collect()
-    assert [(r.message_id, r.error) for r in rejected] == [("m7", "no_model")]
+    # no model is a result: noted once, neither sent again nor rejected
+    noted = spark.read.parquet(str(tmp_path / "outcomes")).where("status = 'no_model'").collect()
+    assert [r.message_id for r in noted] == ["m7"]
+    assert spark.read.parquet(str(tmp_path / "rejects")).where("job = 'scorer'").isEmpty()
 
 
 LONG = "The space rocket reached orbit after a long security check. Nothing else was said about it at all. " * 3

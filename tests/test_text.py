@@ -27,6 +27,9 @@ def test_html(spark):
         "<dl><dt>k<dd>v<dt>l<dd>w</dl>end": "klend",
         "<form>lost</form><object><object>x</object>y</object>z": "z",
         "x<nav>unclosed": "xunclosed",
+        "x" + "<nav>a" * 12 + "</nav>b" * 12 + "y": "xby",
+        "x<form>a<nav>b<nav>c<svg>d</svg>e</nav>f</nav>g": "xag",
+        "x</nav>y<nav>a<nav>b<nav>c</nav></nav></nav></nav>z": "xyz",
         "<svg width='1'/>after<svg><title>t</title></svg>": "after",
         "<b>x</b><br><img src='a.png'><input value=1>y": "xy",
         "  a \n\tb ": " a b ",
