@@ -11,7 +11,7 @@ import pandas as pd
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-TABLES = ("events", "documents", "embeddings", "pages", "labels", "conversations")
+TABLES = ("events", "documents", "embeddings", "pages", "labels", "conversations", "benchmark")
 
 
 def connect(sf: str) -> duckdb.DuckDBPyConnection:
