@@ -167,3 +167,67 @@ def components(docs, percent=75):
         if d is not None:
             least[find(i)] = min(d, least.get(find(i), d))
     return [(d, len(s), least.get(find(i)) if s else d, find(i)) for i, ((d, _), s) in enumerate(zip(docs, sets, strict=True))]
+
+
+def near_vectors(rows, least=0.9):
+    """(vec_id, n_links, component_id, kept) of (vec_id, vector) rows."""
+    usable = [v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v) for _, v in rows]
+    sizes = collections.Counter(len(v) for (_, v), u in zip(rows, usable, strict=True) if u)
+    usual = max(sizes, key=lambda s: (sizes[s], s), default=0)
+    usable = [u and len(v) == usual for (_, v), u in zip(rows, usable, strict=True)]
+    links = [[] for _ in rows]
+    at = [i for i, u in enumerate(usable) if u]
+    if at:
+        m = np.array([rows[i][1] for i in at], dtype=float)
+        m /= np.abs(m).max(axis=1, keepdims=True)
+        m /= np.linalg.norm(m, axis=1, keepdims=True)
+        for a, row in zip(at, m @ m.T >= least, strict=True):
+            links[a] = [at[b] for b in np.flatnonzero(row) if at[b] != a]
+    label, out = [None] * len(rows), []
+    for i in range(len(rows)):
+        if label[i] is None:
+            group, todo = {i}, [i]
+            while todo:
+                new = set(links[todo.pop()]) - group
+                group |= new
+                todo += new
+            name = (min((rows[g][0] for g in group if rows[g][0] is not None), default=None),)
+            for g in group:
+                label[g] = name
+        out.append((rows[i][0], len(links[i]), label[i][0], rows[i][0] == label[i][0]))
+    return out
+
+
+def tree(leaves):
+    levels = [leaves]
+    while len(levels[-1]) > 1:
+        levels.append([sha("".join(levels[-1][i:i + 8])) for i in range(0, len(levels[-1]), 8)])
+    return levels
+
+
+def manifest(rows):
+    """(doc_id, leaf, subroot, root, proof, folded root, verified) of (doc_id, source, lang, n_chars, text) rows."""
+    def leaf(r, text):
+        return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in (*r[:4], text)))
+
+    langs = collections.defaultdict(list)
+    for r in rows:
+        langs[r[2]].append(r)
+    names = sorted(langs, key=lambda n: (n is not None, (n or "").encode()))
+    for n in names:
+        langs[n].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r, r[4])))
+    trees = {n: tree([leaf(r, r[4]) for r in langs[n]]) for n in names}
+    top, out = tree([trees[n][-1][0] for n in names]), []
+    for k, n in enumerate(names):
+        for i, r in enumerate(langs[n]):
+            path = []
+            for levels, at in ((trees[n], i), (top, k)):
+                for level in levels[:-1]:
+                    first = at - at % 8
+                    path.append(("".join(level[first:at]), "".join(level[at + 1:first + 8])))
+                    at //= 8
+            node = leaf(r, lower(r[4]) if r[0] is not None and r[4] is not None and zlib.crc32(str(r[0]).encode()) % 3 == 0 else r[4])
+            for left, right in path:
+                node = sha(left + node + right)
+            out.append((r[0], trees[n][0][i], trees[n][-1][0], top[-1][0], sha("".join(a + b for a, b in path)), node, node == top[-1][0]))
+    return out

@@ -1,4 +1,4 @@
-"""The ten queries and the pipeline against brute force: given rows, and a table of odd ones."""
+"""All queries and the pipeline against brute force: given rows, and a table of odd ones."""
 
 import collections
 import random
@@ -9,6 +9,8 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -16,7 +18,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import brute  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from pressroom.llm import pii  # noqa: E402
+from pressroom.llm import merkle, pii, pivots, whitening  # noqa: E402
 from pressroom.llm.queries import QUERIES, SQL  # noqa: E402
 from pressroom.llm.unitcodes import tokenizer_file  # noqa: E402
 
@@ -55,6 +57,16 @@ def odd_pages():
     return rows
 
 
+def odd_vectors():
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(9, 6))
+    rows = [(i, list(v)) for i, v in enumerate(base)] + [(20 + i, list(2 * v + 0.05)) for i, v in enumerate(base[:4])]
+    rows += [(40, list(base[5])), (40, list(base[5])), (41, list(base[5] * 3)), (None, list(base[6])), (None, list(rng.normal(size=6)))]
+    nan, inf = float("nan"), float("inf")
+    return rows + [(50, None), (51, [0.0, -0.0, 0, 0, 0, 0]), (52, [nan] * 6), (53, [inf, 0, 0, 0, 0, 0]), (54, [None, 1, 2, 3, 4, 5]),
+                   (55, []), (56, [1.0, 2.0]), (57, [0.0, 0, 0, 0, 0, 1]), (58, [-0.0, 0, 0, 0, 0, 1]), (59, [1.0, 2.0])]
+
+
 ITEMS = [(1, "Item words item words item words"), (2, None), (3, ""), (4, " ".join(VOCAB[:20])), (4, " ".join(VOCAB[:20])), (5, "?!")]
 
 
@@ -68,6 +80,10 @@ def odd(tmp_path_factory):
     docs.to_parquet(path / "documents.parquet")
     pages = pd.DataFrame(odd_pages(), columns=["page_id", "url", "html"]).astype({"page_id": "Int64"})
     pages.assign(host="h", key="k", digest="d", seed=1, slot=2, first=0).to_parquet(path / "pages.parquet")
+    vectors = pd.DataFrame(odd_vectors(), columns=["vec_id", "embedding"]).astype({"vec_id": "Int64"})
+    table = pa.table({"vec_id": pa.array(vectors.vec_id, pa.int64()), "embedding": pa.array([v for _, v in odd_vectors()], pa.list_(pa.float32())),
+                      "label": pa.array([None] * len(vectors), pa.int32()), "key": pa.array([b"k"] * len(vectors)), "node": pa.array(range(len(vectors)))})
+    pq.write_table(table, path / "embeddings.parquet")
     pd.DataFrame(ITEMS, columns=["item_id", "text"]).assign(start=1).to_parquet(path / "benchmark.parquet")
     return str(path)
 
@@ -75,8 +91,8 @@ def odd(tmp_path_factory):
 @pytest.fixture(scope="module")
 def empty(tmp_path_factory, odd):
     path = tmp_path_factory.mktemp("empty")
-    for t in ("documents", "pages", "benchmark"):
-        pd.read_parquet(f"{odd}/{t}.parquet").iloc[:0].to_parquet(path / f"{t}.parquet")
+    for t in ("documents", "pages", "benchmark", "embeddings"):
+        pq.write_table(pq.read_table(f"{odd}/{t}.parquet").slice(0, 0), path / f"{t}.parquet")
     return str(path)
 
 
@@ -214,6 +230,115 @@ def test_op10(spark, folder):
     same(run(spark, "op10_jaccard_join", folder, ["doc_id", "n_shingles", "component_id"]), [c[:3] for c in brute.components(documents(folder))])
 
 
+def vectors(sf):
+    return rows_of(sf, "embeddings", "vec_id", "embedding")
+
+
+@tables("odd")
+def test_op11(spark, folder):
+    got = run(spark, "op11_near_vectors", folder, ["vec_id", "n_links", "component_id", "kept"])
+    want = [(v, n, c, bool(k)) for v, n, c, k in brute.near_vectors(vectors(folder))]
+    same(got, want)
+
+
+def near_table(spark, n_single, groups):
+    """Single vectors, pairs just above the bound, and groups of near copies: each member its own vector."""
+    rng = np.random.default_rng(11)
+    single = rng.normal(size=(n_single, 64))
+    single /= np.linalg.norm(single, axis=1, keepdims=True)
+    off = rng.normal(size=single.shape)
+    off -= (off * single).sum(axis=1, keepdims=True) * single
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    c = rng.uniform(0.9, 0.95, size=(n_single, 1))
+    parts = [single, c * single + np.sqrt(1 - c * c) * off]
+    for size in groups:
+        parts.append(rng.normal(size=64) / 8 + rng.normal(size=(size, 64)) * 0.02)
+    return np.concatenate(parts).astype(np.float32)
+
+
+def test_op11_recall(spark):
+    """Against brute force: pairs at the bound, and one group of near copies that holds a third of all rows."""
+    m = near_table(spark, 1500, [1500, 40])
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(m)], "vec_id long, embedding array<float>")
+    got = pivots.near_vectors(df, nearest=12, least_shared=2).toPandas().sort_values("vec_id")
+    want = brute.near_vectors([(i, list(row)) for i, row in enumerate(m.astype(float))])
+    links = np.array([w[1] for w in want])
+    assert (got.n_links.to_numpy() <= links).all()  # none is false
+    assert got.n_links.sum() >= 0.99 * links.sum()
+    assert (got.component_id.to_numpy() == np.array([w[2] for w in want])).mean() > 0.99
+
+
+def test_op11_tiles(spark, monkeypatch):
+    """Lists of many tiles give what one tile gives."""
+    m = near_table(spark, 100, [150])
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(m)], "vec_id long, embedding array<float>")
+    whole = pivots.near_vectors(df).collect()
+    monkeypatch.setattr(pivots, "BLOCK", 16)
+    same([tuple(r) for r in pivots.near_vectors(df).collect()], [tuple(r) for r in whole])
+
+
+def check_whitening(got, rows):
+    usable = [(i, v) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    sizes = collections.Counter(len(v) for _, v in usable)
+    usual = max(sizes, key=lambda s: (sizes[s], s))
+    x = np.floor(64 * np.array([v for _, v in usable if len(v) == usual], dtype=float)).astype(np.int64) + 1000000
+    n, sums = len(x), x.sum(axis=0)
+    centred = (x * n - sums) / n
+    _, spread, components = np.linalg.svd(centred, full_matrices=False)
+    values, components = spread ** 2 / n, components.T
+    k = min(32, int((spread > spread[0] * 1e-10).sum()))
+    want = centred @ components[:, :k] / np.sqrt(values[:k])
+    assert len(got) == n * k and set(got.n) == {n} and got.identity_error.nunique() == 1 and got.identity_error.max() < 1e-9
+    deviation = ((x * n - sums) ** 2).sum(axis=1)
+    mine = collections.defaultdict(list)
+    for j, part in got.groupby("component"):
+        assert abs(part.explained.iloc[0] / (values[j - 1] / values.sum()) - 1) < 1e-9
+        mine[j] = sorted(zip(part.deviation, part.whitened, strict=True))
+        options = [sorted(zip(deviation, s * want[:, j - 1], strict=True)) for s in (1, -1)]
+        assert any(np.allclose(mine[j], o, rtol=1e-9, atol=1e-7) for o in options)
+
+
+@tables("odd")
+def test_op12(spark, folder):
+    check_whitening(QUERIES["op12_whitening"](spark, folder).toPandas(), vectors(folder))
+
+
+def test_op12_badly_conditioned(spark):
+    """Standard deviations from 10,000 down to 1 and a constant dimension: a Gram matrix no plain factor gets right."""
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(700, 5)) * 10.0 ** np.arange(4, -1, -1) @ np.linalg.qr(rng.normal(size=(5, 5)))[0]
+    rows = [(i, [*row.tolist(), 7.0]) for i, row in enumerate(m)]
+    got = whitening.whiten(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+    check_whitening(got.drop(columns="eigenvalue"), rows)
+
+
+def leaves_of(sf):
+    return rows_of(sf, "documents", "doc_id", "source", "lang", "n_chars", "text")
+
+
+MANIFEST = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+
+
+@tables("odd")
+def test_op13(spark, folder):
+    same(run(spark, "op13_manifest", folder, MANIFEST), brute.manifest(leaves_of(folder)))
+
+
+@pytest.mark.parametrize("sizes", [{"a": 1}, {"a": 8, "b": 9, None: 64, "": 65}, {"a": 512, "b": 513}, {"a": 4200, **{f"l{i}": 1 + i % 3 for i in range(70)}}])
+def test_op13_sizes(spark, sizes):
+    """Trees that just fill a run or a block or go past it, three rounds of blocks, and more trees than a run."""
+    rows = [(j * 100 + i, None, lang, j, f"Text {i} {lang}") for i, (lang, n) in enumerate(sizes.items()) for j in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string")
+    got = merkle.manifest(docs.repartition(7), merkle.lowered())
+    same([tuple(r) for r in got.select(*MANIFEST).collect()], brute.manifest(rows))
+    one = got.drop("text").where("not verified").first()
+    if one:  # the siblings and the untampered leaf lead to the root
+        node = one.leaf
+        for step in one.path:
+            node = brute.sha(step.left + node + step.right)
+        assert node == one.root != one.folded_root
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty(spark, empty, name):
     assert QUERIES[name](spark, empty).count() == 0
