@@ -136,7 +136,8 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     found = F.lit(None).cast("string") if tampered is None else tampered
     rows = docs.select("doc_id", "lang", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("-")).alias("tree"),
                        leaf(F.col("text")).alias("node"), F.when(found.isNotNull(), leaf(found)).alias("found"))
-    nodes = _numbered(rows, "tree", ["doc_id", "node"])
+    # written first: the range shuffle reads its input twice, which must not digest the texts twice
+    nodes = _numbered(stage(rows), "tree", ["doc_id", "node"])
     rounds, subroots = _climb(nodes, ["doc_id", "lang", "found"])
     names = subroots.select(F.lit(0).alias("top"), F.col("tree").alias("name"), "node")
     numbered = _numbered(names, "top", ["name"]).select(F.col("top").cast("string").alias("tree"), "pos", "n", "node", "name")
