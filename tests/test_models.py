@@ -173,15 +173,15 @@ def test_update_moves_towards_the_label(spark, models):
 
 
 def test_update_with_an_unknown_class_speaks_against_all(spark):
-    rows = [r for r in training(("u",)) if r[3] is not True]
+    rows = [r for r in training(("u",)) if r[3] is not None]  # both sides, nothing neutral
     m = P.train(spark.createDataFrame(rows, DDL), FAST)
     before = m.meta.first()
-    assert list(before.classes) == [-1, 0]
-    batch = spark.createDataFrame([("u", "m1", 1, "football match", "team", False, True)],
+    assert list(before.classes) == [-1, 1]
+    batch = spark.createDataFrame([("u", "m1", 1, "football match", "team", False, None)],
         "userid string, row_key string, seq int, title string, summary string, issaved boolean, isliked boolean")
     new = P.update(m, batch)
     after = new.meta.first()
-    assert after.neutral_b < before.neutral_b and after.labeled_count == before.labeled_count + 1
+    assert after.like_b < before.like_b and after.neutral_count == before.neutral_count + 1
     assert new.terms.count() == m.terms.count()
 
 

@@ -23,7 +23,8 @@ def test_matches_sql(spark, con, name):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(entry.queries())
-    assert entry.queries().keys() - SQL.keys() == {"train_models"}
+    plain = {q for q in entry.queries() if q != "pipeline" and not q.startswith("op")}
+    assert plain - SQL.keys() == {"train_models"}
 
 
 def test_entry(spark):
