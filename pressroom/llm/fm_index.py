@@ -1,6 +1,6 @@
 """Benchmark phrases in training texts, found by an FM-index per shard.
 
-A shard is a run of ``SHARD`` documents. A word outside the benchmark's vocabulary can't lie in an
+A shard is a run of documents of ``SLICE`` bytes of text together, or one longer document. A word outside the benchmark's vocabulary can't lie in an
 occurrence, so the shard's text is its runs of vocabulary words that are long enough for the shortest
 phrase, with a separator after each. Its suffix array gives the Burrows-Wheeler transform, kept as a
 wavelet matrix with ranks; all phrases are searched backwards at once, one rank for each bit of a word;
@@ -29,11 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .arrays import ALNUM, Rolling, cover, mix, word_slices
+from .arrays import ALNUM, Rolling, buffers, cover, mix, slices, word_slices
 
 PIECE = 32 << 20
 SAMPLE = 8
-SHARD = 2000  # documents of an index
 HITS = ("doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
         "spans array<struct<start: int, end: int>>")
 
@@ -75,7 +74,7 @@ class Phrases:
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Positions in the order of their suffixes; only ties are sorted again, each time by twice the length."""
     n = len(text)
-    order = np.argsort(text)
+    order = np.argsort(text, kind="stable")
     rank = np.zeros(n, np.int64)
     new = np.concatenate([[True], text[order[1:]] != text[order[:-1]]])
     at = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -115,7 +114,7 @@ class FMIndex:
             self.zeros.append(self.n - int(ones[-1]))
             row = np.concatenate([row[bit == 0], row[bit == 1]])
         sampled = suffixes % SAMPLE == 0
-        self.sampled, self.samples = np.concatenate([[0], np.cumsum(sampled)]), suffixes[sampled]
+        self.sampled, self.samples = np.concatenate([[0], np.cumsum(sampled)]).astype(np.int32), suffixes[sampled]
 
     def rank(self, symbol: np.ndarray, upto: np.ndarray) -> np.ndarray:
         """How often each symbol stands among the first ``upto`` of the transform."""
@@ -263,6 +262,11 @@ def judge(texts: pa.Array, folder: str, window: int, share: float) -> dict[str,
             "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))}
 
 
+def shards(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of documents; memory follows their bytes, not their number."""
+    return slices(buffers(texts)[1])
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.05,
                        id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """One row per document (``HITS``): words, hit words, items found, and the word spans to remove.
@@ -274,8 +278,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, SHARD):
-                part = batch.slice(lo, SHARD)
+            for lo, hi in shards(batch.column(1)):
+                part = batch.slice(lo, hi - lo)
                 got = judge(part.column(1), folder, window, share)
                 yield pa.RecordBatch.from_arrays([part.column(0), *got.values()], names=["doc_id", *got])
         files.tidy()
@@ -290,8 +294,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, SHARD):
-                part = batch.slice(lo, SHARD)
+            for lo, hi in shards(batch.column(at)):
+                part = batch.slice(lo, hi - lo)
                 yield part.filter(pc.invert(judge(part.column(at), folder, window, share)["contaminated"]))
         files.tidy()
 

@@ -70,7 +70,8 @@ def patterns(text: str) -> list[tuple[int, int, int]]:
             parts, at = m.group().split("."), m.start()
             for i in range(0, len(parts) - 3, 4):
                 end = at + sum(map(len, parts[i:i + 4])) + 3
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts[i:i + 4]):
+                values = [p.lstrip("0") for p in parts[i:i + 4]]  # a part may have thousands of zeros
+                if all(len(v) <= 3 and int(v or 0) <= 255 for v in values):
                     out.append((1, at, end))
                 at = end + 1
     for m in _CARD.finditer(text):
@@ -130,7 +131,7 @@ def _features(token: str, before: str) -> list[int]:
     dots = token.count(".")
     if dots == 3 and not letters:
         parts = token.split(".")
-        out.append(11 if all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts) else 12)
+        out.append(11 if all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts) else 12)
     out.append(13 if not letters else 14 if n else 15)
     if token[0] == "+":
         out.append(16)
@@ -222,11 +223,15 @@ def further(text: str, found: list[tuple[int, int, int]], w: dict[str, np.ndarra
     return out
 
 
-def train(docs: DataFrame, sample_docs: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> dict[str, np.ndarray]:
-    """Fit the weights on at most ``sample_docs`` documents, those of smallest id hash."""
-    ids = docs.select(F.col(id_col).cast("long").alias("i")).where("i is not null").distinct().orderBy(F.xxhash64("i"), "i").limit(sample_docs)
-    ids = [r.i for r in ids.collect()]
-    some = docs.where(F.col(id_col).isin(ids)).select(F.col(text_col).cast("string").alias("text"))
+def train(docs: DataFrame, sample_docs: int = 2000, id_col: str = "doc_id", text_col: str = "text",
+          sample_tokens: int = 200) -> dict[str, np.ndarray]:
+    """Fit the weights on the first ``sample_tokens`` tokens of at most ``sample_docs`` rows, those of smallest id
+    hash; a row counts once however often it is repeated. So the driver gets at most their product of tokens."""
+    keyed = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("text")).where("i is not null") \
+        .withColumn("h", F.xxhash64("text"))
+    picked = keyed.select("i", "h").distinct().orderBy(F.xxhash64("i"), "i", "h").limit(sample_docs).collect()
+    wanted = docs.sparkSession.createDataFrame(picked, "i long, h long")
+    some = keyed.join(F.broadcast(wanted), ["i", "h"], "left_semi").dropDuplicates(["i", "h"]).select("text")
     kind = "label int, features array<int>, before array<int>, after array<int>, alike array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +248,7 @@ def train(docs: DataFrame, sample_docs: int = 2000, id_col: str = "doc_id", text
                 for i, j in t.skip:
                     mine[i]["alike"].append(t.label[j])
                     mine[j]["alike"].append(t.label[i])
-                rows += mine[:200]
+                rows += mine[:sample_tokens]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     rows = some.mapInArrow(run, kind).collect()

@@ -186,18 +186,29 @@ def align(a: Skeleton, b: Skeleton) -> list[int]:
             table.append(row)
         return table
 
+    def open_pair(i: int, j: int) -> bool:
+        return bool(a.children[i]) and bool(b.children[j]) and a.shape[i] != b.shape[j] and (i, j) not in scores
+
     def score(i: int, j: int) -> int:
-        x, y = a.children[i], b.children[j]
-        if not x or not y:
+        if not a.children[i] or not b.children[j]:
             return 1
-        if a.shape[i] == b.shape[j]:
-            return a.size[i]
-        if (i, j) not in scores:
+        return a.size[i] if a.shape[i] == b.shape[j] else scores[i, j]
+
+    def settle(i: int, j: int) -> None:
+        """Scores of a pair and of all pairs below it, children first; a page may be nested thousands deep."""
+        stack = [(i, j)]
+        while stack:
+            i, j = stack[-1]
+            if not open_pair(i, j):
+                stack.pop()
+                continue
+            x, y = a.children[i], b.children[j]
             if len(x) * len(y) > LARGE:
                 scores[i, j] = 1 + sum(min(a.size[p], b.size[q]) for p, q in in_order(x, y))
+            elif below := [(p, q) for p in x for q in y if a.label[p] == b.label[q] and open_pair(p, q)]:
+                stack += below
             else:
                 scores[i, j] = 1 + rows(x, y)[-1][-1]
-        return scores[i, j]
 
     def in_order(x: list[int], y: list[int]) -> list[tuple[int, int]]:
         """Long lists: children of the same label from both ends inwards."""
@@ -223,6 +234,7 @@ def align(a: Skeleton, b: Skeleton) -> list[int]:
         elif len(x) * len(y) > LARGE:
             todo += in_order(x, y)
         else:
+            settle(i, j)
             table, p, q = rows(x, y), len(x), len(y)
             while p and q:
                 v = table[p][q]

@@ -56,7 +56,7 @@ def personal(docs):
     for d, t in docs:
         t, found = t or "", []
         found += [("email", m) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
-        found += [("ip", m) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m.group().split("."))]
+        found += [("ip", m) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split("."))]
         for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
             digits = re.sub("[ -]", "", m.group())
             if 13 <= len(digits) <= 19 and _luhn(digits):

@@ -18,7 +18,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import brute  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from pressroom.llm import merkle, pii, pivots, whitening  # noqa: E402
+from pressroom.llm import merkle, pii, pivots, whitening, wrapper  # noqa: E402
 from pressroom.llm.queries import QUERIES, SQL  # noqa: E402
 from pressroom.llm.unitcodes import tokenizer_file  # noqa: E402
 
@@ -375,3 +375,26 @@ def test_pipeline(spark, folder):
             assert all(r.n_chars == len(r.text) for r in out.collect())
         same([(r.doc_id, r.text) for r in out.collect()], plain)
         docs = spark.createDataFrame(out.collect(), out.schema)
+
+
+def test_op3_odd_numbers(spark):
+    """A part of thousands of zeros, superscript and other digits that are no ASCII ones."""
+    zeros = "0" * 6000
+    rows = [(1, f"a 1.2.{zeros}7.9 b"), (2, "see 1.2.3.² or ١.٢.٣.٤"), (3, f"{zeros}.1.1.1 {zeros}"), (4, "1.2.3.4² +1 ²³ 555 12345")]
+    docs = spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, lang string")
+    got = pii.find_personal(docs)
+    want = brute.personal(rows)
+    same([tuple(r) for r in got.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256").collect()], [w[:6] for w in want])
+
+
+def test_op3_sample_is_bounded_in_rows(spark):
+    docs = spark.createDataFrame([(7, f"call +1 555 555 {i:04d} now") for i in range(300)], "doc_id long, text string")
+    assert set(pii.train(docs, sample_docs=5)) == set(pii.train(docs.unionAll(docs), sample_docs=5))
+
+
+def test_op6_deep_pages(spark):
+    """Pages of one host nested 3,000 deep, which differ at the bottom."""
+    deep = "<html><body>" + "<div>" * 3000 + "%s" + "</div>" * 3000
+    rows = [(i, "http://deep.example/p", deep % (f"<p>Only text {i}</p>" + "<ul><li>x</ul>" * (i % 2))) for i in range(4)]
+    got = wrapper.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id for r in got if f"Only text {r.page_id}" in r.text} == {0, 1, 2, 3}
