@@ -20,8 +20,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import buffers, slices
+from .files import tidy
 from .token_files import with_end
-from .unitcodes import encoder
+from .unitcodes import SLICE, encoder
 
 #: Open windows a split holds; beyond that it empties them into each other and starts anew.
 OPEN = 4096
@@ -119,8 +121,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(window, TaskContext.get().partitionId() << 32)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
+            for lo, hi in slices(buffers(batch.column(1))[1], SLICE):
+                part = batch.slice(lo, hi - lo)
                 ids, lengths = with_end(*encoder(tokenizer).encode(part.column(1)), end_id)
                 ends = np.cumsum(lengths)
                 for doc_id, end, n in zip(part.column(0).to_pylist(), ends.tolist(), lengths.tolist(), strict=True):
@@ -128,5 +130,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2
                 yield packer.rows()
         packer.flush()
         yield packer.rows()
+        tidy()
 
     return rows.mapInArrow(run, PIECES)

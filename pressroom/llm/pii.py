@@ -24,6 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import buffers, slices
+from .files import tidy
+
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -259,6 +262,13 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in sorted(spans))
 
 
+def _parts(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut to texts of ``SLICE`` bytes together, or one longer text."""
+    for batch in batches:
+        for lo, hi in slices(buffers(batch.column(at))[1]):
+            yield batch.slice(lo, hi - lo)
+
+
 def find_personal(docs: DataFrame, sample_docs: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: counts and hash of the patterns' matches, all spans as text and as an array."""
     weights = train(docs, sample_docs, id_col, text_col)
@@ -267,7 +277,7 @@ def find_personal(docs: DataFrame, sample_docs: int = 2000, id_col: str = "doc_i
             "found array<struct<kind: string, start: int, end: int>>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, 1):
             counts: list[list[int]] = [[], [], [], []]
             base, spans, found = [], [], []
             for value in batch.column(1):
@@ -283,6 +293,7 @@ def find_personal(docs: DataFrame, sample_docs: int = 2000, id_col: str = "doc_i
                 [batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()),
                  pa.array(spans, pa.string()), pa.array(found, pa.list_(_SPAN))],
                 names=[c.split()[0] for c in kind.split(", ")[:7]] + ["found"])
+        tidy()
 
     return rows.mapInArrow(run, kind)
 
@@ -309,7 +320,7 @@ def redact_personal(docs: DataFrame, sample_docs: int = 2000, id_col: str = "doc
     at, chars = docs.columns.index(text_col), docs.columns.index(chars_col) if chars_col in docs.columns else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches, at):
             texts = []
             for value in batch.column(at):
                 text = value.as_py()
@@ -323,5 +334,6 @@ def redact_personal(docs: DataFrame, sample_docs: int = 2000, id_col: str = "doc
             if chars >= 0:
                 columns[chars] = pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(batch.schema.field(chars).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)
