@@ -45,12 +45,13 @@ def one_per_key(updates: DataFrame, keys: Sequence[str], order: Sequence[str]) -
 def late_enrichment(user_articles: DataFrame, enriched: DataFrame) -> DataFrame:
     """Give reader rows that arrived after their article was enriched its summary and tags.
 
-    ``enriched``: one row per (feedurl, link) with summary, tags and updatedat.
+    ``enriched``: one row per (feedurl, link) with summary, tags and updatedat. Rows that have a
+    summary pass by without meeting the join, so only those that lack one are shuffled.
     """
     change = enriched.select(F.col("feedurl").alias("_feed"), F.col("link").alias("_link"),
                              F.struct("summary", "tags", "updatedat").alias("_new"))
     lacking = F.coalesce("summary", F.lit("")) == ""
-    joined = user_articles.join(
-        change, lacking & (F.col("feedurl") == F.col("_feed")) & (F.col("href") == F.col("_link")), "left")
+    joined = user_articles.where(lacking).join(
+        change, (F.col("feedurl") == F.col("_feed")) & (F.col("href") == F.col("_link")), "left")
     new = {c: F.coalesce(f"_new.{c}", c).alias(c) for c in ("summary", "tags", "updatedat")}
-    return joined.select(*[new.get(c, F.col(c)) for c in user_articles.columns])
+    return user_articles.where(~lacking).unionByName(joined.select(*[new.get(c, F.col(c)) for c in user_articles.columns]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import docs as D
@@ -33,8 +33,8 @@ def append_log(rows: DataFrame, path: str, batch: str) -> None:
 
 
 def archive_articles(articles: DataFrame, path: str) -> None:
-    """Store articles under their day of creation and key; the same key replaces itself,
-    by the later update; of equal ones what comes in replaces what is stored.
+    """Store articles under their day of creation and key; what comes in replaces what is stored
+    under its key, whatever their dates; of several that come in together the later update counts.
 
     Only the days met are rewritten, together with what they already hold, and from a
     staged copy, so a failed write loses nothing.
@@ -49,7 +49,7 @@ def archive_articles(articles: DataFrame, path: str) -> None:
         old = old.join(F.broadcast(new.select(*by).distinct()), by, "left_semi")  # bounded by the calendar
         both = both.unionByName(old.withColumn("_incoming", F.lit(False)))
     content = F.md5(F.to_json(F.struct(*articles.columns)))
-    best = latest(both.withColumn("_content", content), [*by, "archive_key"], ["updatedat", "feedurl", "_incoming", "_content"])
+    best = latest(both.withColumn("_content", content), [*by, "archive_key"], ["_incoming", "updatedat", "feedurl", "_content"])
     _replace_partitions(cut_lineage(best.drop("_incoming", "_content")), path, by)
 
 
@@ -59,14 +59,18 @@ def reject(rows: DataFrame, path: str, batch: str) -> None:
 
 
 def snapshot(tables: dict[str, DataFrame], root: str, at: datetime | None = None) -> str:
-    """Dump whole tables as compressed JSON into one timestamped folder; checks the row counts."""
+    """Dump whole tables as compressed JSON into one timestamped folder.
+
+    Rows are counted as they are written, in the one pass over the table, and again in the files.
+    """
     stamp = (at or datetime.now(timezone.utc)).strftime("%Y-%m-%dT%H-%M-%S.%fZ")
     folder = f"{root}/snapshot_ts={stamp}"
     for name, df in tables.items():
-        df.write.option("compression", "gzip").json(f"{folder}/{name}")
-        stored = df.sparkSession.read.schema(df.schema).json(f"{folder}/{name}").count()
-        if stored != df.count():
-            raise RuntimeError(f"snapshot of {name} is incomplete: {stored} rows")
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", "gzip").json(f"{folder}/{name}")
+        stored = df.sparkSession.read.text(f"{folder}/{name}").count()
+        if stored != seen.get["rows"]:
+            raise RuntimeError(f"snapshot of {name} is incomplete: {stored} rows of {seen.get['rows']}")
     return folder
 
 

@@ -24,6 +24,7 @@ from ..operators.training import USER
 from ..session import cut_lineage
 from ..sources import queue as Q
 from ..sources import sinks, versions
+from ..sources.keyed import Channel, KeyedTable
 
 Handler = Callable[[DataFrame, int], DataFrame]
 
@@ -79,7 +80,7 @@ def _interactions(batch: DataFrame) -> DataFrame:
 
     return batch.withColumn("_doc", doc).select(
         F.col("message_id").alias("row_key"), F.col("sent_at").alias("seq"), text("userId").alias(USER),
-        text("_id").alias("id"), text("title").alias("title"), F.coalesce(text("summary"), F.lit("")).alias("summary"),
+        text("_id").alias("id"), text("href").alias("href"), text("title").alias("title"), F.coalesce(text("summary"), F.lit("")).alias("summary"),
         # a missing isSaved is not false, hence counts as liked
         flag("isSaved").alias("issaved"), flag("isLiked").alias("isliked"),
         D.truthy(F.col("_doc"), "score").alias("scored"))
@@ -117,8 +118,15 @@ def trainer(spark: SparkSession, store: str, rows: Callable[[], DataFrame], sett
     return handle
 
 
+#: Channels of the two article tables, which lie in buckets by link (``href`` on the reader's side).
+BACKEND = {"enriched": Channel(("_id",), ("textcontent", "summary", "tags", "updatedat"))}
+READER = {"enriched": Channel(("feedurl", "href"), ("summary", "tags", "updatedat")), "scored": Channel(("_id",), ("score",))}
+
+
 def scorer(spark: SparkSession, store: str, articles_root: str, outcomes: str | None = None) -> Handler:
-    """Score messages without a score and write the scores into the reader articles, by id.
+    """Score messages without a score and write the scores into the reader articles (a keyed table), by id.
+
+    A batch writes changes into the buckets of its articles; a message without a link is looked up by its id.
 
     A reader without a model is a result, not a failure: the message is used up. With ``outcomes``
     the status of every message (scored, no_model) is written there under the batch id.
@@ -135,43 +143,63 @@ def scorer(spark: SparkSession, store: str, articles_root: str, outcomes: str |
             note(seen.select(F.col("row_key").alias("message_id"), F.lit("no_model").alias("status")), batch_id)
             return none
         scored = cut_lineage(P.score(seen.select(USER, "row_key", "title", "summary"), known))
-        by_id = seen.select("row_key", "id", "seq").join(scored.where("status = 'scored'"), "row_key")
-        updates = cut_lineage(M.one_per_key(by_id.select("id", "score", "seq", "row_key"), ["id"], ["seq", "row_key"]))
+        by_id = seen.select("row_key", F.col("id").alias("_id"), "href", "seq").where("id is not null") \
+            .join(scored.where("status = 'scored'"), "row_key")
+        updates = cut_lineage(M.one_per_key(by_id.select("_id", "href", "score", "seq", "row_key"), ["_id"], ["seq", "row_key"]))
         note(scored.select(F.col("row_key").alias("message_id"), "status"), batch_id)
-        if updates.isEmpty():
-            return none  # nothing to write, so the table stays as it is
-        table = versions.current(spark, articles_root)
-        version = versions.current_version(spark, articles_root)
-        versions.publish(M.update_all(table, updates, {"_id": "id"}, ["score"]), articles_root, version + 1)
+        if not updates.isEmpty():
+            KeyedTable(spark, articles_root).update("scored", updates)
         return none
 
     return handle
 
 
+def fill_late(reader: KeyedTable, backend: KeyedTable, since: int) -> int:
+    """Give reader rows added after version ``since`` whose article was enriched before them its summary and tags.
+
+    Only those rows that lack a summary are looked up, in the buckets of their links; gives the version to go on from.
+    """
+    upto = reader.version()
+    lacking = F.coalesce("summary", F.lit("")) == ""
+    pending = cut_lineage(reader.added_since(since).where(lacking).select("feedurl", "href").distinct())
+    buckets = backend.buckets_of(pending, ["href"])
+    if buckets:
+        finished = latest(E.commit_ready(backend.read(buckets)).select("feedurl", F.col("link").alias("href"), "summary", "tags", "updatedat"),
+                          ["feedurl", "href"], ["updatedat", "summary"])
+        found = cut_lineage(finished.join(pending, ["feedurl", "href"], "left_semi"))
+        still = reader.read(reader.buckets_of(found)).where(lacking).select("feedurl", "href").distinct()
+        found = cut_lineage(found.join(still, ["feedurl", "href"], "left_semi"))
+        if not found.isEmpty():
+            reader.update("enriched", found)
+    return upto
+
+
 def enricher(spark: SparkSession, backend_root: str, reader_root: str, archive: str, pages: Callable[[], DataFrame],
-             provider: E.Provider | None = None) -> Handler:
-    """Enrich articles, write them back to both tables, archive them."""
+             provider: E.Provider | None = None, compact: int = 16) -> Handler:
+    """Enrich articles, write them back to both tables (keyed by link), archive them.
+
+    A batch opens the buckets of its links only: earlier work is looked up there, changes are written there.
+    Rows that readers got since the batch before are looked up once. Buckets of more than ``compact`` parts are rewritten.
+    """
+    looked: dict[str, int] = {"since": -1}  # a new start looks at all rows once more
+
     def handle(batch: DataFrame, batch_id: int) -> DataFrame:
+        backend, reader = KeyedTable(spark, backend_root), KeyedTable(spark, reader_root)
         parsed = cut_lineage(E.parse_articles(batch))
         good = parsed.where("article is not null").select("message_id", "article.*")
         articles = good.select(*[F.col(c).alias(c.lower() if c != "message_id" else c) for c in good.columns])
-        backend = versions.current(spark, backend_root)
-        done = cut_lineage(E.enrich(articles, backend, pages(), provider).withColumn("now", F.current_timestamp()))
+        known = backend.read(backend.buckets_of(articles))
+        done = cut_lineage(E.enrich(articles, known, pages(), provider).withColumn("now", F.current_timestamp()))
         ready = E.commit_ready(done).withColumn("updatedat", F.col("now"))
         updates = cut_lineage(M.one_per_key(
             ready.select("feedurl", "link", "textcontent", "summary", "tags", "updatedat", "message_id"),
             ["feedurl", "link"], ["updatedat", "message_id"]))
-        merged = M.update_first(backend, updates, {"feedurl": "feedurl", "link": "link"},
-                                ["textcontent", "summary", "tags", "updatedat"], "_id")
-        version = versions.current_version(spark, backend_root)
-        versions.publish(merged, backend_root, version + 1)
-        reader = versions.current(spark, reader_root)
-        reader = M.update_all(reader, updates, {"feedurl": "feedurl", "href": "link"}, ["summary", "tags", "updatedat"])
-        # reader rows that came after their article was enriched
-        finished = latest(E.commit_ready(merged).select("feedurl", "link", "summary", "tags", "updatedat"),
-                          ["feedurl", "link"], ["updatedat", "summary"])
-        reader = M.late_enrichment(reader, finished)
-        versions.publish(reader, reader_root, versions.current_version(spark, reader_root) + 1)
+        if not updates.isEmpty():
+            backend.update_first("enriched", updates, ["feedurl", "link"])
+            reader.update("enriched", updates.withColumnRenamed("link", "href"))
+        looked["since"] = fill_late(reader, backend, looked["since"])
+        for table in (backend, reader):
+            table.compact(compact)
         sinks.archive_articles(done.drop("message_id", "now"), archive)
         return parsed.where("article is null").select("message_id", F.array_join("problems", ",").alias("error"))
 

@@ -3,12 +3,14 @@
 import json
 from datetime import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from pressroom.operators import linear as L
 from pressroom.operators.preference import Models
 from pressroom.sources import queue as Q
 from pressroom.sources import sinks, tables, versions
+from pressroom.sources.keyed import Channel, KeyedTable
 
 
 def test_camel_case_documents(spark, tmp_path):
@@ -47,9 +49,9 @@ def test_archive_replaces_by_key_and_keeps_the_day(spark, tmp_path):
     put(("a", "f", "a1", dt(2024, 1, 1), dt(2024, 1, 1)), ("b", "f", "b1", dt(2024, 1, 1), dt(2024, 1, 1)),
         ("c", "f", "c1", dt(2024, 1, 2), dt(2024, 1, 2)))
     put(("a", "f", "a2", dt(2024, 1, 1), dt(2024, 1, 3)), ("d", "f", "d1", dt(2024, 1, 5), dt(2024, 1, 5)))
-    put(("a", "f", "stale", dt(2024, 1, 1), dt(2023, 1, 1)))
+    put(("a", "f", "older date", dt(2024, 1, 1), dt(2023, 1, 1)), ("a", "e", "oldest", dt(2024, 1, 1), dt(2022, 1, 1)))
     rows = spark.read.parquet(path).collect()
-    assert sorted(r.title for r in rows) == ["a2", "b1", "c1", "d1"]
+    assert sorted(r.title for r in rows) == ["b1", "c1", "d1", "older date"]
     assert {r.archive_key for r in rows if r.link == "a"} == {"backend-articles/2024/01/01/a/backend-article.json"}
 
 
@@ -117,3 +119,82 @@ def test_envelopes(spark):
     assert len(got) == 3 and any(r.body == "not json" for r in got.values())
     again = Q.envelopes(Q.as_envelopes(Q.envelopes(lines).where(F.col("message_id") == "m1"))).first()
     assert (again.message_id, again.receives, again.body) == ("m1", 3, "{}")
+
+
+CHANNELS = {"text": Channel(("feed", "link"), ("summary",)), "score": Channel(("id",), ("score",))}
+
+
+def keyed(spark, path, n=40, buckets=8):
+    rows = [(i, f"f{i % 2}", f"l{i // 4}", None, None) for i in range(n)]
+    return KeyedTable.create(spark.createDataFrame(rows, "id int, feed string, link string, summary string, score double"),
+                             str(path), ["link"], CHANNELS, buckets)
+
+
+def rows_of(table, buckets=None):
+    return {r.id: (r.summary, r.score) for r in table.read(buckets).collect()}
+
+
+def files_of(path):
+    return {str(f): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_keyed_updates_touch_their_buckets_only(spark, tmp_path):
+    table = keyed(spark, tmp_path)
+    before = files_of(tmp_path)
+    touched = table.update("text", spark.createDataFrame([("f0", "l3", "new"), ("f1", "none", "x")], "feed string, link string, summary string"))
+    after = files_of(tmp_path)
+    assert {f: t for f, t in after.items() if f in before} == before  # no file is written again
+    added = [f for f in after if f not in before and "/changes/" in f]
+    assert len(added) == len(touched) <= 2
+    got = rows_of(KeyedTable(spark, str(tmp_path)))
+    assert {i for i, (s, _) in got.items() if s} == {12, 14} and len(got) == 40
+    # a read of other buckets opens no file of changes
+    home = table.buckets_of(spark.createDataFrame([("l3",)], "link string"))
+    others = table.read([b for b in range(8) if b not in touched])
+    assert not [f for f in others.inputFiles() if "/changes/" in f] and len(rows_of(table, home)) >= 4
+
+
+def test_keyed_against_whole_table_merges(spark, tmp_path):
+    """Updates of both channels, rows added between them, a replay and rewrites give what joins over the whole table give."""
+    table = keyed(spark, tmp_path)
+    want = {i: [None, None] for i in range(40)}
+    links = {i: (f"f{i % 2}", f"l{i // 4}") for i in range(40)}
+
+    def text(rows, version):
+        table.update("text", spark.createDataFrame(rows, "feed string, link string, summary string"), version)
+
+    def score(rows):
+        table.update("score", spark.createDataFrame(rows, "id int, link string, score double"))
+
+    text([("f0", "l1", "a"), ("f1", "l1", "b"), ("f0", "l2", None)], 1)
+    text([("f0", "l1", "a"), ("f1", "l1", "c")], 1)  # the same version again replaces itself
+    score([(4, "l1", 0.5), (5, None, 0.25), (99, "l1", 1.0), (98, None, 1.0)])  # two rows are found by their id
+    for i, (f, link) in links.items():
+        if link == "l1":
+            want[i][0] = "a" if f == "f0" else "c"
+    want[4][1], want[5][1] = 0.5, 0.25
+    assert rows_of(table) == {i: tuple(w) for i, w in want.items()}
+    table.append(spark.createDataFrame([(50, "f0", "l1", "own", None), (51, "f0", None, None, None)], table.schema))
+    want |= {50: ["own", None], 51: [None, None]}
+    assert rows_of(table) == {i: tuple(w) for i, w in want.items()}  # older changes do not reach newer rows
+    assert {r.id for r in table.added_since(2).collect()} == {50, 51}
+    text([("f0", "l1", "d")], None)
+    for i, (f, link) in [*links.items(), (50, ("f0", "l1"))]:
+        if (f, link) == ("f0", "l1"):
+            want[i][0] = "d"
+    before = files_of(tmp_path)
+    full = table.compact(most_parts=3)
+    assert full and {f: t for f, t in files_of(tmp_path).items() if f in before} == before
+    assert rows_of(table) == {i: tuple(w) for i, w in want.items()} and table.compact(most_parts=3) == []
+    table.update_first("score", spark.createDataFrame([("f1", "l1", 0.75)], "feed string, link string, score double"), ["feed", "link"])
+    want[5][1] = 0.75  # one row of the key, that of the least id
+    assert rows_of(table) == {i: tuple(w) for i, w in want.items()}
+
+
+def test_keyed_channels_share_no_column(spark, tmp_path):
+    for bad in ({"a": Channel(("id",), ("score",)), "b": Channel(("link",), ("score",))}, {"a": Channel(("id",), ("link",))}):
+        with pytest.raises(ValueError):
+            KeyedTable.create(spark.createDataFrame([], "id int, link string, score double"), str(tmp_path), ["link"], bad)
+    empty = KeyedTable.create(spark.createDataFrame([], "id int, link string, score double"), str(tmp_path), ["link"],
+                              {"a": Channel(("id",), ("score",))})
+    assert empty.read().count() == 0 and empty.compact() == [] and empty.version() == 0 or empty.read().columns == ["id", "link", "score"]

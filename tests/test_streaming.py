@@ -11,6 +11,7 @@ from pressroom.operators.enrich import generate
 from pressroom.schemas import USER_ARTICLE_DOC
 from pressroom.sources import queue as Q
 from pressroom.sources import tables, versions
+from pressroom.sources.keyed import KeyedTable
 from pressroom.streaming import jobs as J
 
 from test_models import DDL, training
@@ -62,13 +63,13 @@ def test_route_train_score(spark, tmp_path):
     assert warm["u1"].dislike_b != cold["u1"].dislike_b and warm["u2"].dislike_b == cold["u2"].dislike_b
 
     root = str(tmp_path / "articles")
-    docs = spark.createDataFrame([("a1", "t"), ("a2", "t")], "_id string, title string")
+    docs = spark.createDataFrame([("a1", "t", "h"), ("a2", "t", "h")], "_id string, title string, href string")
     for f in USER_ARTICLE_DOC.fields:
         if f.name not in docs.columns:
             docs = docs.selectExpr("*", f"cast(null as {f.dataType.simpleString()}) as {f.name}")
-    versions.publish(docs.select(USER_ARTICLE_DOC.names), root, 1)
+    KeyedTable.create(docs.select(USER_ARTICLE_DOC.names), root, ["href"], J.READER)
     drain(spark, tmp_path, "scorer", score_q, J.scorer(spark, store, root, str(tmp_path / "outcomes")))
-    got = {r["_id"]: r.score for r in versions.current(spark, root).collect()}
+    got = {r["_id"]: r.score for r in KeyedTable(spark, root).read().collect()}
     assert got["a2"] is None and got["a1"].like + got["a1"].neutral + got["a1"].dislike == pytest.approx(1.0)
     # no model is a result: noted once, neither sent again nor rejected
     noted = spark.read.parquet(str(tmp_path / "outcomes")).where("status = 'no_model'").collect()
@@ -87,13 +88,14 @@ def article(link, **change):
 def stores(spark, tmp_path):
     backend, reader = str(tmp_path / "backend"), str(tmp_path / "reader")
     ddl = ("_id string, feedurl string, link string, title string, updatedat timestamp, textcontent string, summary string, tags array<string>")
-    versions.publish(spark.createDataFrame([
+    KeyedTable.create(spark.createDataFrame([
         ("b1", "f", "new", "t", dt(2023, 1, 1), None, None, None), ("b2", "other", "known", "t", dt(2023, 1, 1), "text", "done before", ["Video"]),
-        ("b3", "f", "known", "t", dt(2023, 1, 1), None, None, None), ("b4", "f", "short", "t", dt(2023, 1, 1), None, None, None)], ddl), backend, 1)
-    versions.publish(spark.createDataFrame([
+        ("b3", "f", "known", "t", dt(2023, 1, 1), None, None, None), ("b4", "f", "short", "t", dt(2023, 1, 1), None, None, None)], ddl), backend, ["link"], J.BACKEND)
+    KeyedTable.create(spark.createDataFrame([
         (1, "f", "new", None, None, dt(2023, 1, 1)), (2, "f", "new", None, None, dt(2023, 1, 1)), (3, "f", "known", None, None, dt(2023, 1, 1)),
         (4, "other", "known", None, None, dt(2023, 1, 1)), (5, "f", "short", None, None, dt(2023, 1, 1))],
-        "id int, feedurl string, href string, summary string, tags array<string>, updatedat timestamp"), reader, 1)
+        "id int, feedurl string, href string, summary string, tags array<string>, updatedat timestamp"), reader, ["href"],
+        {"enriched": J.READER["enriched"]})
     pages = spark.createDataFrame([("new", "text/html", f"<html><body><p>{LONG}</p></body></html>"), ("short", "text/html", "<p>too short</p>")],
                                   "url string, content_type string, html string")
     return backend, reader, pages
@@ -104,11 +106,11 @@ def test_enrich(spark, tmp_path):
     queue, archive = tmp_path / "queue", str(tmp_path / "archive")
     put(queue, "q.json", [("m1", article("new")), ("m2", article("known")), ("m3", article("short")), ("m4", {"title": "incomplete"})])
     drain(spark, tmp_path, "enrich", queue, J.enricher(spark, backend, reader, archive, lambda: pages))
-    b = {r["_id"]: r for r in versions.current(spark, backend).collect()}
+    b = {r["_id"]: r for r in KeyedTable(spark, backend).read().collect()}
     assert b["b1"].tags == ["Security", "Space"] or b["b1"].tags == ["Space", "Security"]
     assert b["b1"].summary.startswith("The space rocket reached orbit")
     assert (b["b3"].summary, b["b3"].textcontent, b["b2"].summary, b["b4"].summary) == ("done before", "text", "done before", None)
-    r = {x.id: x for x in versions.current(spark, reader).collect()}
+    r = {x.id: x for x in KeyedTable(spark, reader).read().collect()}
     assert r[1].summary == r[2].summary == b["b1"].summary and r[3].tags == ["Video"] and r[5].summary is None
     assert r[4].summary == "done before"  # a row that had missed its update
     stored = {x.link for x in tables.lower_names(spark.read.parquet(archive)).collect()}
@@ -116,6 +118,21 @@ def test_enrich(spark, tmp_path):
     assert [x.error for x in spark.read.parquet(str(tmp_path / "rejects")).collect()] == ["feedUrl,link,content,createdAt,updatedAt,pubDate"]
 
 
+def test_rows_added_later_are_filled(spark, tmp_path):
+    """A reader row that comes after its article was enriched is filled by the next batch, whatever that is about."""
+    backend, reader, pages = stores(spark, tmp_path)
+    queue, archive = tmp_path / "queue", str(tmp_path / "archive")
+    put(queue, "q.json", [("m1", article("new"))])
+    handler = J.enricher(spark, backend, reader, archive, lambda: pages)
+    drain(spark, tmp_path, "enrich", queue, handler)
+    table = KeyedTable(spark, reader)
+    table.append(spark.createDataFrame([(9, "f", "new", None, None, dt(2024, 1, 1)), (10, "f", "unknown", "", None, dt(2024, 1, 1))], table.schema))
+    put(queue, "r.json", [("m2", article("short"))])
+    drain(spark, tmp_path, "enrich", queue, handler)
+    r = {x.id: x for x in KeyedTable(spark, reader).read().collect()}
+    assert r[9].summary == r[1].summary and r[9].summary.startswith("The space rocket") and r[10].summary == ""
+
+
 def test_enrich_with_provider(spark, tmp_path):
     def provider(rules, content):
         if rules.startswith("Keep only"):
