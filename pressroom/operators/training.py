@@ -66,6 +66,11 @@ def _by_digest(seed: int) -> dict[str, list[Column]]:
     return {"order": [d, F.col("row_key")], "buckets": [F.substring(d, 1, BUCKET_DIGITS)]}
 
 
+def smallest(rows: DataFrame, keys: list[str], most: int, seed: int = SEED) -> DataFrame:
+    """At most ``most`` rows of every group, those of least digest."""
+    return mark_smallest(rows, keys, F.lit(most), **_by_digest(seed)).where("picked").drop("picked")
+
+
 def balance_neutral(rows: DataFrame, seed: int = SEED) -> DataFrame:
     """All labelled rows and as many neutral ones; every neutral row if nothing is labelled."""
     labelled, neutral = label_split(rows)

@@ -90,28 +90,27 @@ def trainer(spark: SparkSession, store: str, rows: Callable[[], DataFrame], sett
             from_scratch: bool = False) -> Handler:
     """Update known readers with the messages, train unknown ones on all their training rows.
 
+    A reader known to lack a second class is only counted, until a message brings one.
+
     ``rows`` gives the training rows of all readers. ``from_scratch`` retrains every reader met.
     """
     def handle(batch: DataFrame, batch_id: int) -> DataFrame:
         seen = cut_lineage(_interactions(batch))
         good = seen.where(f"{USER} is not null and title is not null")
-        known = versions.load_models(spark, store, before=batch_id + 1)
         users = good.select(USER).distinct()
-        cold = users
-        parts = []
+        known = versions.load_models(spark, store, before=batch_id + 1, users=users)
+        cold, parts = users, []
         if known is not None and not from_scratch:
-            trained = known.meta.where("status = 'trained'")
-            warm = users.join(trained, USER, "left_semi")
-            cold = users.join(trained, USER, "left_anti")
-            parts.append(P.update(known, good.join(warm, USER, "left_semi"), settings))
-        cold = cut_lineage(cold)
+            # a reader whose rows did not make a model is trained again when a class turns up that it had not
+            met = R.with_label(good).groupBy(USER).agg(F.collect_set("y").alias("_met"))
+            unfit = known.meta.where("status <> 'trained'").join(met, USER).where(
+                F.size(F.array_except("_met", F.coalesce("classes", F.array().cast("array<int>")))) > 0)
+            cold = cut_lineage(users.join(known.meta.select(USER), USER, "left_anti").unionByName(unfit.select(USER)))
+            parts.append(P.update(known, good.join(cold, USER, "left_anti"), settings))
         if not cold.isEmpty():
             parts.append(P.train(rows().join(cold, USER, "left_semi"), settings))
         if parts:
-            terms, meta = parts[0].terms, parts[0].meta
-            for more in parts[1:]:
-                terms, meta = terms.unionByName(more.terms), meta.unionByName(more.meta)
-            versions.save_models(P.Models(cut_lineage(terms), cut_lineage(meta)), store, batch_id + 1)
+            versions.save_models(P.together(parts), store, batch_id + 1)
         bad = seen.where(f"{USER} is null or title is null")
         return bad.select(F.col("row_key").alias("message_id"), F.lit("not an article").alias("error"))
 
@@ -137,7 +136,7 @@ def scorer(spark: SparkSession, store: str, articles_root: str, outcomes: str |
 
     def handle(batch: DataFrame, batch_id: int) -> DataFrame:
         seen = _interactions(batch).where("not scored")
-        known = versions.load_models(spark, store)
+        known = versions.load_models(spark, store, users=seen.where(f"{USER} is not null").select(USER))
         none = seen.where(F.lit(False)).select(F.col("row_key").alias("message_id"), F.lit("").alias("error"))
         if known is None:
             note(seen.select(F.col("row_key").alias("message_id"), F.lit("no_model").alias("status")), batch_id)

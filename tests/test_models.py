@@ -122,29 +122,31 @@ def test_scores_rank_and_sum_to_one(spark, models):
     assert got[2].score.like == pytest.approx(got[5].score.like)
 
 
-def test_sharded_fit_ranks_like_whole_fit(spark, models):
-    m = P.train(spark.createDataFrame(training(("u1",)), DDL), replace(FAST, max_epochs=4), entry_limit=2500)
+def test_fit_on_a_sample(spark, models):
+    """A bounded sample per class fits a model; counts and vocabulary stay those of all rows."""
+    rows = spark.createDataFrame(training(("u1",)), DDL)
+    m, whole = P.train(rows, FAST, sample_rows=4), P.train(rows, FAST)
     got = scores(spark, m, [("u1", "rocket to space", "orbit"), ("u1", "football league", "coach team")])
-    assert got[0].score.preferenceScore > 0 > got[1].score.preferenceScore
-    assert m.meta.first().status == "trained"
-
-
-def test_one_shard_equals_plain_descent():
-    """A shard pass over all rows from zero is the first epoch of a plain fit."""
-    rng = np.random.RandomState(1)
-    rows = [dict(userid="u", row_key=f"r{i}", y=int(rng.choice([-1, 0, 1])), copies=1, block="b", term=f"t{j}", weight=rng.rand())
-            for i in range(9) for j in rng.choice(12, 5, replace=False)]
-    pdf = pd.DataFrame(rows)
-    pdf["y"] = pdf.groupby("row_key")["y"].transform("first")
-    one = replace(L.SETTINGS, max_epochs=1)
-    whole = L.fit_group(pdf, one)
-    shard = pdf.assign(shard=0, epoch=0, classes=[[-1, 0, 1]] * len(pdf), **{s: 0.0 for s in L.SIDES},
-                       **{f"{s}_b": 0.0 for s in L.SIDES}, **{f"{s}_eta": one.eta0 for s in L.SIDES})
-    part = L.shard_pass(shard, one, shuffle=True)
-    merged = whole.fillna({"term": ""}).merge(part.fillna({"term": ""}), on="term", suffixes=("", "_s"))
-    assert len(merged) > 10
-    for s in L.SIDES:
-        assert np.allclose(merged[s], merged[f"{s}_s"])
+    assert got[0].score.preferenceScore > got[1].score.preferenceScore
+    assert m.terms.select("block", "term", "df", "idf").exceptAll(whole.terms.select("block", "term", "df", "idf")).isEmpty()
+    assert (m.meta.first().labeled_count, m.meta.first().status) == (16, "trained")
+
+
+def test_one_step_in_closed_form():
+    """A single row: shrink, step, pull by the penalty; terms not met only shrink."""
+    p = replace(L.SETTINGS, alpha=0.01)
+    entry = [dict(block="b", term=t, weight=x, dislike=d, neutral=0.1, like=0.0) for t, x, d in (("s", 0.6, 0.3), ("t", 0.8, -0.2))]
+    row = pd.DataFrame([dict(userid="u", y=-1, draw=0.5, entries=entry, status="trained", classes=[-1, 0, 1], labeled_count=2,
+                             neutral_count=1, dislike_b=0.1, neutral_b=0.2, like_b=-0.1)])
+    out = pd.concat(list(L.learn_in_order(iter([row]), p))).set_index("term")
+    margin = 0.6 * 0.3 - 0.8 * 0.2 + 0.1
+    step = p.eta0 / (1 + np.exp(margin))
+    shrink, due = 1 - 0.85 * p.eta0 * p.alpha, 0.15 * p.eta0 * p.alpha
+    assert out.loc["s", "dislike"] == pytest.approx(0.3 * shrink + step * 0.6 - due)
+    assert out.loc["t", "dislike"] == pytest.approx(-(abs(-0.2 * shrink + step * 0.8) - due))
+    head = out[out.index.isna()].iloc[0]
+    assert head.dislike == pytest.approx(0.1 + p.intercept_rate * step) and head.dislike_decay == pytest.approx(shrink)
+    assert (head.applied, head.n_labeled, head.n_neutral) == (1, 1, 0)
 
 
 def test_two_class_model_is_one_sigmoid(spark):
@@ -162,16 +164,39 @@ def test_update_moves_towards_the_label(spark, models):
         [("u1", f"m{i}", i, "football match", "team", False, True) for i in range(6)]
         + [("nobody", "m9", 9, "t", "s", False, True)],
         "userid string, row_key string, seq int, title string, summary string, issaved boolean, isliked boolean")
-    for rows_per_shard in (100, 2):
-        new = P.update(models, batch, replace(L.SETTINGS, eta0=0.5), shard_rows=rows_per_shard)
-        meta = new.meta.collect()
-        assert [(r.userid, r.labeled_count, r.neutral_count) for r in meta] == [("u1", 22, 8)]
-        assert new.terms.where("userid = 'u1'").count() == models.terms.where("userid = 'u1'").count()
-        after = scores(spark, new, [("u1", "football match", "team")])
-        assert after[0].score.like > before[0].score.like
+    new = P.update(models, batch, replace(L.SETTINGS, eta0=0.5))
+    meta = new.meta.collect()
+    assert [(r.userid, r.labeled_count, r.neutral_count) for r in meta] == [("u1", 22, 8)]
+    assert new.terms.where("userid = 'u1'").count() == models.terms.where("userid = 'u1'").count()
+    after = scores(spark, new, [("u1", "football match", "team")])
+    assert after[0].score.like > before[0].score.like
     assert before[0].score.like == pytest.approx(before[1].score.like, abs=0.2)
 
 
+def test_update_does_not_depend_on_batches(spark, models):
+    """Any split of the messages gives the same counters, intercepts and coefficients."""
+    texts = [("football match", "team"), ("rocket to space", "orbit"), ("zzz", ""), ("football rocket", "coach orbit")]
+    rows = [("u1", f"m{i:02d}", i, *texts[i % 4], False, (None, True, False, None, None)[i % 5]) for i in range(30)]
+    ddl = "userid string, row_key string, seq int, title string, summary string, issaved boolean, isliked boolean"
+    hot = replace(L.SETTINGS, eta0=0.3, alpha=0.01)
+
+    def after(cuts):
+        m = models
+        for lo, hi in zip([0, *cuts], [*cuts, 30]):
+            new = P.update(m, spark.createDataFrame(rows[lo:hi][::-1], ddl), hot)
+            m = P.Models(spark.createDataFrame(new.terms.collect(), new.terms.schema),
+                         spark.createDataFrame(new.meta.collect(), new.meta.schema))
+        return ({(r.block, r.term): [r[s] for s in L.SIDES] for r in m.terms.collect()}, m.meta.first())
+
+    whole, meta = after([])
+    assert meta.labeled_count + meta.neutral_count == 24 + 30
+    for cuts in ([1], [7, 8, 20]):
+        part, other = after(cuts)
+        assert part.keys() == whole.keys() and tuple(other)[1:5] == tuple(meta)[1:5]
+        assert all(np.allclose(part[k], whole[k], rtol=1e-9, atol=1e-12) for k in whole)
+        assert np.allclose([other[f"{s}_b"] for s in L.SIDES], [meta[f"{s}_b"] for s in L.SIDES])
+
+
 def test_update_with_an_unknown_class_speaks_against_all(spark):
     rows = [r for r in training(("u",)) if r[3] is not None]  # both sides, nothing neutral
     m = P.train(spark.createDataFrame(rows, DDL), FAST)

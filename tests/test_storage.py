@@ -1,6 +1,7 @@
 """Sources, sinks, caches and versioned tables."""
 
 import json
+import re
 from datetime import datetime as dt
 
 import pytest
@@ -105,6 +106,18 @@ def test_model_roundtrip(spark, tmp_path):
     want = {"a": 1.0, "b": 3.0, "c": 3.0}
     assert {r.userid: r.dislike for r in m.terms.collect()} == want == {r.userid: r.dislike_b for r in m.meta.collect()}
     assert {r.userid for r in versions.load_models(spark, root, before=2).meta.collect()} == {"a", "b"}
+    one = versions.load_models(spark, root, users=spark.createDataFrame([("a",)], "userid string"))
+    assert [r.userid for r in one.meta.collect()] == ["a"] and [r.dislike for r in one.terms.collect()] == [1.0]
+    # a batch that moves no coefficient writes no terms, and its reader still finds them
+    same = versions.load_models(spark, root, users=spark.createDataFrame([("c",)], "userid string"))
+    versions.save_models(Models(same.terms, same.meta.withColumn("neutral_count", F.lit(9).cast("long")), same.terms.limit(0)), root, 3)
+    assert not list((tmp_path / "m/terms/version=3").rglob("*.parquet"))
+    again = versions.load_models(spark, root)
+    assert {r.userid: r.neutral_count for r in again.meta.collect()} == {"a": 1, "b": 1, "c": 9}
+    assert {r.userid: r.dislike for r in again.terms.collect()} == want
+    plan = versions.load_models(spark, root, users=spark.createDataFrame([("c",)], "userid string")).terms._jdf.queryExecution().toString()
+    filters = re.search(r"/terms.*?PartitionFilters: \[(.*?)\], PushedFilters", plan, re.S).group(1)
+    assert re.search(r"bucket#\d+ (= \d+|IN \(\d+\))", filters) and re.search(r"version#\d+L? (= 2|IN \(2\))", filters)
     versions.compact_models(spark, root, new)
     assert {r.userid: r.dislike for r in versions.load_models(spark, new).terms.collect()} == want
     assert L.SIDES == ("dislike", "neutral", "like")
