@@ -401,6 +401,54 @@ QUERIES: dict[str, str] = {
         FROM (SELECT *, value / (value + 1) AS s FROM reader)""",
 }
 
+QUERIES["keyed_updates"] = f"""
+        SELECT m.*, s.neutral, s."like", s.dislike, s.preferencescore
+        FROM ({QUERIES['merge_user']}) m JOIN ({QUERIES['score_merge']}) s ON s.event_id = m.event_id"""
+
+
+def _step(side: str, of: str, b: float) -> str:
+    """A reader's step on one side: rate times sign over 1 + exp(margin)."""
+    t = f"CASE WHEN y = {of} THEN 1 ELSE -1 END"
+    return f"0.5 * ({t}) / (1 + exp(({t}) * (coalesce({side}, 0) + {b})))"
+
+
+def _moved(side: str) -> str:
+    """A coefficient after one step: all shrink, those of the row's terms move and are pulled towards zero."""
+    value = f"(f.{side} * (1 - 0.85 * 0.5 * 0.01) + s.{side} * x.x)"
+    return (f"CASE WHEN NOT s.applied THEN f.{side} WHEN s.{side} IS NULL THEN 0 WHEN x.x IS NULL THEN f.{side} * (1 - 0.85 * 0.5 * 0.01) "
+            f"ELSE sign({value}) * greatest(abs({value}) - 0.15 * 0.5 * 0.01, 0) END")
+
+
+QUERIES["update_models"] = f"""
+        WITH firsts AS (SELECT userid, event_id, title, coalesce(summary, '') AS summary,
+                               CASE WHEN issaved IS DISTINCT FROM false THEN 1 WHEN isliked IS NULL THEN 0 WHEN isliked THEN 1 ELSE -1 END AS y
+                        FROM reader QUALIFY row_number() OVER (PARTITION BY userid ORDER BY event_id) = 1),
+        texts AS (SELECT userid, 'title' AS block, title AS text FROM firsts UNION ALL SELECT userid, 'summary', summary FROM firsts),
+        counts AS (SELECT userid, block, term, count(*) AS tf FROM ({_grams('texts', 'userid, block', 'userid, block', 'text', 5)})
+                   GROUP BY userid, block, term),
+        coefs AS (SELECT userid, block, term, idf, ({_code("'dislike:' || term")} - 0.5) * 4 AS d,
+                         ({_code("'neutral:' || term")} - 0.5) * 4 AS n, ({_code("'like:' || term")} - 0.5) * 4 AS l FROM vocab),
+        xs AS (SELECT userid, block, term, d, n, l, w / sqrt(sum(w * w) OVER (PARTITION BY userid, block)) AS x
+               FROM (SELECT c.*, c.tf * f.idf AS w, d, n, l FROM counts c JOIN coefs f USING (userid, block, term))),
+        sums AS (SELECT userid, sum(x * d) AS d, sum(x * n) AS n, sum(x * l) AS l FROM xs GROUP BY userid),
+        models AS (SELECT m.userid, m.labeled_count, m.neutral_count, m.n_neutral > 12 AS ok, m.n_dislike > 9 AS three, y, d, n, l,
+                          m.n_neutral > 12 AND NOT (y = 0 AND m.neutral_count > m.labeled_count
+                              AND {_draw('event_id::VARCHAR', 42)} < 1 - m.labeled_count / m.neutral_count) AS applied
+                   FROM stats m JOIN firsts USING (userid) LEFT JOIN sums USING (userid)),
+        steps AS (SELECT userid, ok, applied, labeled_count + (y <> 0)::BIGINT AS labeled_count, neutral_count + (y = 0)::BIGINT AS neutral_count,
+                         CASE WHEN applied AND three THEN {_step('d', '-1', 0.1)} END AS d,
+                         CASE WHEN applied AND three THEN {_step('n', '0', 0.2)} END AS n,
+                         CASE WHEN applied THEN {_step('l', '1', -0.1)} END AS l FROM models),
+        moved AS (SELECT f.userid, f.term, {_moved('d')} AS d, {_moved('n')} AS n, {_moved('l')} AS l
+                  FROM coefs f JOIN steps s USING (userid) LEFT JOIN xs x USING (userid, block, term)),
+        folded AS (SELECT userid, count(*) AS n_terms, sum(d * {_code('term')}) AS d, sum(n * {_code('term')}) AS n,
+                          sum(l * {_code('term')}) AS l FROM moved GROUP BY userid)
+        SELECT s.userid, CASE WHEN ok THEN 'trained' ELSE 'insufficient_labels' END AS status, labeled_count, neutral_count,
+               round(0.1 + 0.01 * coalesce(s.d, 0), 6) AS dislike_b, round(0.2 + 0.01 * coalesce(s.n, 0), 6) AS neutral_b,
+               round(-0.1 + 0.01 * coalesce(s.l, 0), 6) AS like_b, coalesce(n_terms, 0) AS n_terms,
+               round(t.d, 6) AS dislike, round(t.n, 6) AS neutral, round(t.l, 6) AS "like"
+        FROM steps s LEFT JOIN folded t USING (userid)"""
+
 
 def _needed(text: str, done: dict[str, str]) -> None:
     for name, body in CTES.items():

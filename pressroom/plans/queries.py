@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +20,10 @@ from ..operators import similarity as S
 from ..operators import tfidf as V
 from ..operators import training as R
 from ..operators.selection import latest
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_dir
 from ..schemas import BACKEND_ARTICLE_JSON, USER_ARTICLE_JSON, category_names
+from ..sources import versions
+from ..sources.keyed import Channel, KeyedTable
 from ..sources.tables import decode_documents
 from . import workload as W
 
@@ -232,6 +237,23 @@ def score_merge(spark: SparkSession, sf: str) -> DataFrame:
                                        for k in ("neutral", "like", "dislike", "preferenceScore")])
 
 
+def keyed_updates(spark: SparkSession, sf: str) -> DataFrame:
+    """The reader table in buckets of links: articles enriched, then rows scored, every third one without its link,
+    buckets rewritten between the two; read back with all changes."""
+    scores = W.user_articles(spark, sf).select("event_id", "href", "score", "isliked", "value")
+    rows = _reader_side(spark, sf).join(scores.select("event_id", "score"), "event_id")
+    channels = {"enriched": Channel(("feedurl", "href"), ("summary", "tags", "updatedat")), "scored": Channel(("event_id",), ("score",))}
+    table = KeyedTable.create(rows, f"{shared_dir(spark)}/keyed/{uuid.uuid4().hex}", ["href"], channels)
+    table.update("enriched", _updates(spark, sf).withColumnRenamed("link", "href"))
+    table.compact(most_parts=1)
+    share = F.col("value") / (F.col("value") + 1)
+    table.update("scored", scores.where("isliked").select(
+        "event_id", F.when(F.col("event_id") % 3 > 0, F.col("href")).alias("href"),
+        N.score_struct((1 - share) / 2, (1 - share) / 2, share).alias("score")))
+    return table.read().select("event_id", "href", "summary", _joined(F.col("tags")).alias("tags"), "updatedat", *[
+        _six(F.col(f"score.{k}")).alias(k.lower()) for k in ("neutral", "like", "dislike", "preferenceScore")])
+
+
 # -- training sets ---------------------------------------------------------------
 
 def training_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -327,26 +349,49 @@ def ordered_tag_features(spark: SparkSession, sf: str) -> DataFrame:
                         F.coalesce("n_terms", F.lit(0)).alias("n_terms"), F.coalesce("total", F.lit(0.0)).alias("total"))
 
 
-def score_articles(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores of every logged article under coefficients that follow from the term."""
+def _fixed_models(spark: SparkSession, sf: str) -> P.Models:
+    """A model for every reader, under coefficients that follow from the term."""
     _, vocab = _fitted(spark, sf)
 
     def fixed(side: str) -> Column:
         return (term_code(F.concat(F.lit(f"{side}:"), F.col("term"))) - 0.5) * 4
 
-    terms = vocab.select(USER, "block", "term", "idf", *[fixed(s).alias(s) for s in L.SIDES])
+    terms = vocab.select(USER, "block", "term", "df", "idf", *[fixed(s).alias(s) for s in L.SIDES])
     stats = R.training_stats(W.training(spark, sf))
     # readers without a dislike get a two-class model, readers without likes none
     classes = F.array_compact(F.array(F.when(F.col("n_dislike") > 9, -1), F.lit(0), F.lit(1)))
-    meta = stats.select(USER, F.when(F.col("n_neutral") > 12, "trained").otherwise("insufficient_labels").alias("status"),
+    meta = stats.select(USER, "labeled_count", "neutral_count",
+                        F.when(F.col("n_neutral") > 12, "trained").otherwise("insufficient_labels").alias("status"),
                         classes.alias("classes"), F.lit(0.1).alias("dislike_b"), F.lit(0.2).alias("neutral_b"),
                         F.lit(-0.1).alias("like_b"))
+    return P.Models(terms, meta)
+
+
+def score_articles(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of every logged article under coefficients that follow from the term."""
     u = W.user_articles(spark, sf, summary=True).select(USER, F.col("event_id").alias("row_key"), "title", "summary")
-    scored = P.score(u, P.Models(terms, meta))
+    scored = P.score(u, _fixed_models(spark, sf))
     return scored.select(F.col("row_key").alias("event_id"), "status", *[
         _six(F.col(f"score.{k}")).alias(k.lower()) for k in ("neutral", "like", "dislike", "preferenceScore")])
 
 
+def update_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Every reader's first event as an update of its stored model: the new model as read back, folded per reader."""
+    root = f"{shared_dir(spark)}/models/{uuid.uuid4().hex}"
+    versions.save_models(_fixed_models(spark, sf), root, 0)
+    u = W.user_articles(spark, sf, summary=True).select(USER, "event_id", "title", "summary", "isliked", "issaved")
+    first = u.groupBy(USER).agg(F.min_by(F.struct("event_id", "title", "summary", "isliked", "issaved"), "event_id").alias("e")).select(USER, "e.*")
+    batch = cut_lineage(first.select("*", F.col("event_id").cast("string").alias("row_key"), F.col("event_id").alias("seq")))
+    known = versions.load_models(spark, root, users=batch.select(USER))
+    versions.save_models(P.update(known, batch, replace(L.SETTINGS, eta0=0.5, alpha=0.01)), root, 1)
+    new = versions.load_models(spark, root)
+    folded = new.terms.groupBy(USER).agg(F.count(F.lit(1)).alias("n_terms"), *[
+        _six(F.sum(F.col(s) * term_code(F.col("term")))).alias(s) for s in L.SIDES])
+    return new.meta.join(folded, USER, "left").select(
+        USER, "status", "labeled_count", "neutral_count", *[_six(F.col(b)).alias(b) for b in P.intercepts()],
+        F.coalesce("n_terms", F.lit(0)).alias("n_terms"), *L.SIDES)
+
+
 def score_struct(spark: SparkSession, sf: str) -> DataFrame:
     """Share of each kind of event per user and day as class probabilities; classes can be missing."""
     e = W.read(spark, sf, "events")
@@ -394,4 +439,4 @@ QUERIES = {f.__name__: f for f in (
     scan_user_articles, event_log_keys, article_archive, backend_to_user, route_events, unscored_articles,
     fetchable_pages, clean_pages, strip_urls, summary_guard, extractive_summary, parse_tags, keyword_tags,
     render_prompts, ngrams, reuse_processed, commit_ready, merge_backend, merge_user, late_enrichment, retag_merge,
-    score_merge)}
+    score_merge, keyed_updates, update_models)}
