@@ -314,7 +314,7 @@ def _prepared(spark: SparkSession, sf: str) -> DataFrame:
 def _fitted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows = _prepared(spark, sf)
     counts = V.term_counts(rows, [USER], V.PREFERENCE, carry=["copies", "n"])
-    return counts, V.vocabulary(counts, [USER], V.PREFERENCE, "copies")
+    return counts, V.fit_vocabulary(rows, [USER], V.PREFERENCE, "copies")
 
 
 def tfidf_vocab(spark: SparkSession, sf: str) -> DataFrame:

@@ -236,3 +236,19 @@ def test_embed(spark):
     df = spark.createDataFrame([("ab",), ("  ",), (None,), ("abc",)], "t string")
     got = S.embed(df, "t", lambda texts: [[float(len(t)), 1.0] for t in texts]).collect()
     assert sorted((r.t, r.embedding) for r in got) == [("ab", [2.0, 1.0]), ("abc", [3.0, 1.0])]
+
+
+def test_numbered_vocabulary_equals_counted_one(spark):
+    """Caps met in the middle of a frequency, at its end and not at all; empty and repeated texts."""
+    rng = np.random.RandomState(4)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(u, f"{u}{i}", " ".join(rng.choice(words, rng.randint(0, 9))), "same text again" if i % 3 else None or "", int(rng.randint(1, 4)), 50)
+            for u in ("a", "b", "c") for i in range(30)]
+    df = spark.createDataFrame(rows, "userid string, row_key string, title string, summary string, copies int, n long")
+    for most in (7, 40, 10_000):
+        blocks = {"title": V.Block(most, longest=3, max_df=0.7), "summary": V.Block(5, longest=2)}
+        counts = V.term_counts(df, ["userid"], blocks, carry=["copies", "n"])
+        want = V.vocabulary(counts, ["userid"], blocks, "copies").collect()
+        got = V.fit_vocabulary(df, ["userid"], blocks, "copies")
+        assert got.columns == ["userid", "block", "term", "df", "tf", "idf"]
+        assert sorted(map(tuple, got.collect())) == sorted(tuple(r[c] for c in got.columns) for r in want)
