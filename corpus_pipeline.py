@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressroom.llm.files import new_folder
+from pressroom.llm.files import new_folder, small_batches
 from pressroom.llm.fm_index import drop_contaminated
 from pressroom.llm.jaccard_join import keep_one
 from pressroom.llm.packing import pack_documents
@@ -20,26 +20,31 @@ from pressroom.llm.unitcodes import tokenizer_file
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are too short or repeat themselves go."""
+    small_batches(spark)
     return keep_good(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one of smallest id."""
+    small_batches(spark)
     return keep_one(docs, size=5, percent=75)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages make up a twentieth or more go."""
+    small_batches(spark)
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=13, share=0.05)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by the name of its kind; every document stays."""
+    small_batches(spark)
     return redact_personal(docs, sample_docs=2000)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents left, as pieces of windows of 2048 tokens."""
+    small_batches(spark)
     return pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), end_id=1, window=2048)
 
 

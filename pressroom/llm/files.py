@@ -59,6 +59,12 @@ def stage(df: DataFrame) -> DataFrame:
         conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Send whole texts to Python that many at a time: a task's Arrow buffers, which lie outside the executor's
+    heap, hold a batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def tidy() -> None:
     """Give the memory that a finished task's arrays have left free back to the system.
 

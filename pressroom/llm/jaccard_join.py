@@ -95,14 +95,21 @@ def _pack(tokens: list[np.ndarray], counts: list[np.ndarray], names: list[np.nda
     known = other[head]
     part = (((value >> _U(32)) * _U(ranges)) >> _U(32)).astype(np.int32)
     kept = ~known | first
-    mine = np.where(known, n, who)[kept].astype("<u2" if n < 1 << 16 else "<u4")
+    mine = np.where(known, n, who)[kept]
     low, edge = value[kept].astype(np.uint32), np.searchsorted(part[kept], np.arange(ranges + 1))
     at, whole = who[known], np.searchsorted(part[known], np.arange(ranges + 1))
     full = np.flatnonzero(np.diff(edge))
-    local = [np.bincount(at[whole[i]:whole[i + 1]], minlength=n).astype("<u4").tobytes() if whole[i + 1] > whole[i] else b"" for i in full]
-    apart = b"" if names is owners or (names == owners).all() else owners.astype("<i8").tobytes()
-    columns = ([names.astype("<i8").tobytes()] * len(full), [apart] * len(full), [low[edge[i]:edge[i + 1]].tobytes() for i in full],
-               [mine[edge[i]:edge[i + 1]].tobytes() for i in full], local)
+    own = names is owners or bool((names == owners).all())
+    columns: list[list[bytes]] = [[], [], [], [], []]
+    for i in full:  # a range names the nodes that have tokens in it, no others
+        entries, counted = mine[edge[i]:edge[i + 1]], at[whole[i]:whole[i + 1]]
+        here = np.unique(np.concatenate([entries[entries < n], counted]))
+        k = len(here)
+        index = np.where(entries < n, np.searchsorted(here, entries), k).astype("<u2" if k < 1 << 16 else "<u4")
+        local = np.bincount(np.searchsorted(here, counted), minlength=k).astype("<u4") if len(counted) else np.zeros(0, "<u4")
+        for column, value_here in zip(columns, (names[here].astype("<i8"), np.zeros(0) if own else owners[here].astype("<i8"),
+                                                low[edge[i]:edge[i + 1]], index, local), strict=True):
+            column.append(value_here.tobytes())
     return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array(c, pa.binary()) for c in columns)],
                                       names=["part", "names", "owners", "prints", "who", "local"])
 
@@ -298,7 +305,7 @@ def _components(docs: DataFrame, size: int, percent: int, id_col: str, text_col:
 
     sets = stage(rows.mapInArrow(describe, "doc_id long, twin long, n_shingles long, node long"))
     nodes = stage(sets.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")))
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first(F.struct("doc_id", "twin")).alias("one")))
     edges = stage(_edges(rows, nodes, size, percent, ranges))
     labels = connected(edges)
     members = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
@@ -339,9 +346,10 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "d
 def _edges(rows: DataFrame, nodes: DataFrame, size: int, percent: int, ranges: int) -> DataFrame:
     bound = F.expr(f"100 * shared >= {percent} * n")
     # 1: what could link to anything at all
-    left = stage(_shared(_pack_texts(rows, size, ranges)).join(nodes, "node").where(bound).select("node", "doc_id", "n"))
-    wanted = _small(left.select(F.col("doc_id").alias("wanted_doc"), F.col("node").alias("wanted")))
-    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["wanted_doc"])).select("text", "wanted")
+    left = stage(_shared(_pack_texts(rows, size, ranges)).join(nodes, "node").where(bound).select("node", "one", "n"))
+    wanted = _small(left.select(F.col("one.doc_id").alias("wanted_doc"), F.col("one.twin").alias("wanted_twin"), F.col("node").alias("wanted")))
+    same = rows["doc_id"].eqNullSafe(wanted["wanted_doc"]) & (rows["twin"] == wanted["wanted_twin"])
+    texts = rows.join(wanted, same).select("text", "wanted")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -18,7 +18,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import brute  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from pressroom.llm import merkle, pii, pivots, whitening, wrapper  # noqa: E402
+from pressroom.llm import jaccard_join, merkle, pii, pivots, whitening, wrapper  # noqa: E402
 from pressroom.llm.queries import QUERIES, SQL  # noqa: E402
 from pressroom.llm.unitcodes import tokenizer_file  # noqa: E402
 
@@ -398,3 +398,25 @@ def test_op6_deep_pages(spark):
     rows = [(i, "http://deep.example/p", deep % (f"<p>Only text {i}</p>" + "<ul><li>x</ul>" * (i % 2))) for i in range(4)]
     got = wrapper.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.page_id for r in got if f"Only text {r.page_id}" in r.text} == {0, 1, 2, 3}
+
+
+def test_op10_packed_bytes_do_not_grow_with_ranges():
+    rng = np.random.default_rng(9)
+    tokens = [rng.integers(0, 1 << 64, 200, dtype=np.uint64) for _ in range(300)]
+    tokens[1] = tokens[0]
+    names = np.arange(300)
+
+    def size(ranges):
+        packed = jaccard_join._pack([np.sort(t) for t in tokens], [np.full(1, 200)] * 300, [names], [names], ranges)
+        assert sorted(jaccard_join._count_shared(pa.Table.from_batches([packed.slice(i, 1)])).to_pylist()[0]["shared"] > 0
+                      for i in range(packed.num_rows) if jaccard_join._count_shared(pa.Table.from_batches([packed.slice(i, 1)])).num_rows)
+        return packed.nbytes
+
+    assert max(size(r) for r in (128, 1_000, 20_000)) < 300 * 200 * 40  # bytes a token, however many ranges
+
+
+def test_op10_rows_of_one_id(spark):
+    """Rows without id join their own text, not each other's."""
+    rows = [(None, " ".join(f"w{(i % 40) * 50 + k}" for k in range(30))) for i in range(400)]
+    got = jaccard_join.join_similar(spark.createDataFrame([*rows, (5, rows[0][1])], "doc_id long, text string")).collect()
+    assert collections.Counter((r.n_shingles, r.component_id) for r in got) == {(26, None): 390, (26, 5): 11}
