@@ -21,8 +21,8 @@ SIGN = byte_set((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0
 _ODD = byte_set((0x1C, 0x1F), (0xC2, 0xC2), (0xE1, 0xE3))
 _LATIN = re.compile("[ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _WHOLE = re.compile(rb"<\||[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-#: Distinct pieces a worker remembers; beyond that it forgets all and goes on (results are the same).
-REMEMBERED = 400_000
+#: Distinct pieces a worker remembers, and their characters; beyond that it forgets all and goes on (results are the same).
+REMEMBERED, REMEMBERED_CHARS = 150_000, 8 << 20
 SLICE = 2 << 20  # bytes of text handled at once, or one longer text
 
 
@@ -54,6 +54,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.entry: dict[str, int] = {}
+        self.chars = 0
         self.at, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
@@ -67,6 +68,7 @@ class Encoder:
         self.at[k:k + len(units)] = self.used + np.cumsum(lengths) - lengths
         self.length[k:k + len(units)] = lengths
         self.used += len(ids)
+        self.chars += sum(map(len, units))
         self.entry.update(zip(units, range(k, k + len(units)), strict=True))
 
     def _plain(self, units: list[str]) -> None:
@@ -93,7 +95,7 @@ class Encoder:
                 self._plain(some)
 
     def _entries(self, units: list[str]) -> np.ndarray:
-        if len(self.entry) + len(units) > REMEMBERED:
+        if len(self.entry) + len(units) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self._forget()
         known = [self.entry.get(u, -1) for u in units]
         if new := [u for u, e in zip(units, known, strict=True) if e < 0]:
