@@ -45,7 +45,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents left, as pieces of windows of 2048 tokens."""
     small_batches(spark)
-    return pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), end_id=1, window=2048)
+    return pack_documents(docs, tokenizer_file("byte_bpe_50k.json"), end_id=1, window=2048, slice_bytes=2 << 20)
 
 
 STAGES = [("quality rules", quality_rules), ("n-gram Jaccard join", jaccard_join), ("benchmark decontamination", decontamination),

@@ -114,14 +114,17 @@ class Packer:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = 2048, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
-    """One row per piece of a document (``PIECES``); every id lies in exactly one piece."""
+                   text_col: str = "text", slice_bytes: int = SLICE) -> DataFrame:
+    """One row per piece of a document (``PIECES``); every id lies in exactly one piece.
+
+    ``slice_bytes``: text encoded at once, which the memory of a task follows; results do not.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(window, TaskContext.get().partitionId() << 32)
         for batch in batches:
-            for lo, hi in slices(buffers(batch.column(1))[1], SLICE):
+            for lo, hi in slices(buffers(batch.column(1))[1], slice_bytes):
                 part = batch.slice(lo, hi - lo)
                 ids, lengths = with_end(*encoder(tokenizer).encode(part.column(1)), end_id)
                 ends = np.cumsum(lengths)
