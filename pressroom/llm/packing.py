@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from .arrays import buffers, slices
 from .files import tidy
 from .token_files import with_end
-from .unitcodes import SLICE, encoder
+from .unitcodes import encoder
 
 #: Open windows a split holds; beyond that it empties them into each other and starts anew.
 OPEN = 4096
+SLICE = 4 << 20  # bytes of text encoded at once, or one longer text
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 

@@ -23,7 +23,7 @@ _LATIN = re.compile("[ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _WHOLE = re.compile(rb"<\||[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: Distinct pieces a worker remembers, and their characters; beyond that it forgets all and goes on (results are the same).
 REMEMBERED, REMEMBERED_CHARS = 400_000, 32 << 20
-SLICE = 4 << 20  # bytes of text handled at once, or one longer text
+SLICE = 8 << 20  # bytes of text handled at once, or one longer text
 
 
 def tokenizer_file(name: str) -> str:
