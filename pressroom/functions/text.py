@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+import json
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,29 +37,60 @@ def strip_urls(text: Column) -> Column:
     return F.regexp_replace(text, f"https?://[^{SPACE}]+", "")
 
 
-def _entity_value(name: Column) -> Column:
-    """Character an entity stands for: HTML 4 names and any numeric reference."""
-    named = F.create_map(*[F.lit(x) for k, v in sorted(name2codepoint.items()) for x in (k, chr(v))],
-                         F.lit("apos"), F.lit("'"))
-    number = F.regexp_replace(name, "^#[xX]?0*", "")  # more than eight digits are beyond any character
-    fits = name.startswith("#") & (F.length(number) <= 8)
-    digits = F.when(fits & name.rlike("^#[xX]"), F.conv(F.concat(F.lit("0"), number), 16, 10)) \
+def _references(names: dict[str, str]) -> Column:
+    """A map from entity names to their characters; folded to a constant."""
+    return F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+
+
+def _numeric(ref: Column) -> Column:
+    """Character of ``#123`` or ``#x7B``; U+FFFD for what is none, 128 to 159 as in Windows-1252."""
+    number = F.regexp_replace(F.rtrim(ref, F.lit(";")), "^#[xX]?0*", "")  # more than eight digits are beyond any character
+    fits = F.length(number) <= 8
+    code = F.when(fits & ref.rlike("^#[xX]"), F.conv(F.concat(F.lit("0"), number), 16, 10)) \
         .when(fits, F.concat(F.lit("0"), number)).cast("long")
-    usable = digits.between(1, 0xD7FF) | digits.between(0xE000, 0x10FFFF)
-    numeric = F.when(usable, F.decode(F.unhex(F.lpad(F.hex(digits), 8, "0")), "UTF-32")) \
-        .when(name.startswith("#"), F.lit("\uFFFD"))
-    return F.coalesce(F.try_element_at(named, name), numeric, F.concat(F.lit("&"), name, F.lit(";")))
+    remapped = F.create_map(*[F.lit(x) for i in range(0x80, 0xA0) if (c := _windows_1252(i)) for x in (i, c)])
+    return _let(code, lambda n: F.coalesce(
+        F.when(n.between(0x80, 0x9F), F.try_element_at(remapped, n.cast("int"))),
+        F.when(n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")),
+        F.lit("\uFFFD")))
+
+
+def _windows_1252(code: int) -> str:
+    return bytes([code]).decode("cp1252", "ignore")
 
 
 def decode_entities(text: Column) -> Column:
-    """Replace each distinct entity once; those for "&" last, so none is decoded twice."""
-    found = F.array_distinct(F.regexp_extract_all(
-        text, F.lit("&(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);"), 1))
-    pairs = F.transform(found, lambda n: F.struct(
-        (_entity_value(n) == "&").alias("last"), F.concat(F.lit("&"), n, F.lit(";")).alias("entity"),
-        _entity_value(n).alias("value")))
-    replaced = F.aggregate(F.array_sort(pairs), text, lambda acc, p: F.replace(acc, p["entity"], p["value"]))
-    return F.when(F.contains(text, F.lit("&")), replaced).otherwise(text)
+    """Replace every character reference once, as a browser reads them in text.
+
+    The text is cut at each "&"; the head of a piece is a number, a name of the HTML 5 table with
+    its semicolon, or else the longest prefix that is one of the older names, which need none.
+    """
+    most_used = {n: html5[n] for n in ("amp;", "lt;", "gt;", "quot;", "nbsp;", "apos;")}
+    bare = {n: c for n, c in html5.items() if not n.endswith(";")}
+    longest, shortest = max(map(len, bare)), min(map(len, bare))
+
+    def bare_prefix(head: Column) -> Column:
+        sizes = F.array(*[F.lit(n) for n in range(longest, shortest - 1, -1)])
+        tried = F.transform(F.filter(sizes, lambda n: n <= F.length(head)), lambda n: F.substring(head, F.lit(1), n))
+        return F.get(F.filter(tried, lambda t: F.try_element_at(_references(bare), t).isNotNull()), 0)
+
+    def decoded(piece: Column) -> Column:
+        def by_head(head: Column) -> Column:
+            def rest(taken: Column) -> Column:
+                return F.substring(piece, F.length(taken) + 1, F.length(piece))
+
+            whole = F.when(head.startswith("#"), _numeric(head)).when(head.endswith(";"), F.coalesce(
+                F.try_element_at(_references(most_used), head), F.try_element_at(_references(html5), head)))
+            part = _let(bare_prefix(head), lambda p: F.concat(F.try_element_at(_references(bare), p), rest(p)))
+            return F.coalesce(F.concat(_let(whole, lambda w: w), rest(head)), part, F.concat(F.lit("&"), piece))
+
+        head = F.regexp_extract(piece, "^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*;?)", 1)
+        return _let(head, by_head)
+
+    pieces = F.split(text, "&", -1)
+    joined = _let(pieces, lambda p: F.concat(F.get(p, 0), F.array_join(
+        F.transform(F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), decoded), "")))
+    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
 def _outside_pairs(page: Column) -> Column:

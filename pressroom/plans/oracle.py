@@ -322,7 +322,8 @@ QUERIES: dict[str, str] = {
     "fetchable_pages": "SELECT page_id, url, content_type FROM usable_pages",
     "clean_pages": rf"""
         SELECT page_id, CASE WHEN length(text) >= 100 THEN text END AS text FROM (
-            SELECT page_id, regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(
+            SELECT page_id, regexp_replace(chr(8594) || chr(172) || 'it;' || chr(8755) || chr(169) || 'x ' || chr(8212) || ' ' || chr(8211) || ' ' ||
+                regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(
                 regexp_replace(regexp_replace(regexp_replace(html,
                 '<!--.*?-->', '', 'gs'), '<script[^>]*>.*?</script>', '', 'gsi'), '<head>.*?</head>', '', 'gsi'),
                 '<nav[^>]*>.*?</nav>', '', 'gsi'), '<[^>]*>', '', 'gs'),

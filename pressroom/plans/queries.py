@@ -107,8 +107,9 @@ def fetchable_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def clean_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """All pages, each behind one of every dropped element and a menu nested twelve deep."""
-    menus = "".join(f"<{n}>lost</{n}>" for n in X.DROPPED) + "<nav>deep" * 12 + "</nav>after" * 11 + "</nav>"
+    """All pages, each behind one of every dropped element, a menu nested twelve deep and character references of all forms."""
+    menus = "".join(f"<{n}>lost</{n}>" for n in X.DROPPED) + "<nav>deep" * 12 + "</nav>after" * 11 + "</nav>" \
+        + "&rarr;&notit;&CounterClockwiseContourIntegral;&copyx &#x2014 &#150; "
     body = F.concat(F.lit(menus), F.coalesce("html", F.lit("")))
     return W.pages(spark, sf).select("page_id", X.long_enough(X.html_to_text(body)).alias("text"))
 
