@@ -1,14 +1,22 @@
-"""Message queue as files of JSON envelopes, one per line."""
+"""Message queue as files of JSON envelopes, one per line, and the delay before a message comes again."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..schemas import ENVELOPE
 
 MAX_RECEIVES = 5  # fixed value: receives before a message is set aside
+REDELIVERY_SECONDS = 900  # fixed value: time a failed message stays out of sight
+HELD = "message_id string, body string, receives int, sent_at timestamp, due timestamp"
 
 
 def envelopes(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -40,3 +48,52 @@ def as_envelopes(messages: DataFrame) -> DataFrame:
 def send(messages: DataFrame, queue: str, batch: str) -> None:
     """Put messages on a queue. Delivery is at least once: a replayed batch replaces its own folder."""
     as_envelopes(messages).write.mode("overwrite").text(f"{queue}/{batch}")
+
+
+def hold(messages: DataFrame, held: str, batch: str, delay: float = REDELIVERY_SECONDS, failed_at: Column | None = None) -> None:
+    """Set failed messages aside until ``delay`` seconds after they failed; see ``redeliver``."""
+    at = F.current_timestamp() if failed_at is None else failed_at
+    due = F.timestamp_millis(F.unix_millis(at) + F.lit(round(delay * 1000)))
+    messages.select("message_id", "body", F.col("receives").cast("int").alias("receives"), "sent_at", due.alias("due")) \
+        .write.mode("overwrite").parquet(f"{held}/{batch}")
+
+
+def _wait(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Keep one message until its time. Of copies the one received most often counts."""
+    best: Any = state.get if state.exists else None
+    for batch in batches:
+        for row in zip(batch["body"], batch["receives"], batch["sent_ms"], batch["due_ms"], strict=True):
+            row = (row[0], *map(int, row[1:]))
+            best = row if best is None else max(best, row, key=lambda r: (r[1], r[3], r[2], r[0]))
+    left = best[3] - state.getCurrentProcessingTimeMs()
+    if left > 0:
+        state.update(best)
+        state.setTimeoutDuration(left)
+    else:
+        if state.exists:
+            state.remove()
+        yield pd.DataFrame([(key[0], *best[:3])], columns=["message_id", "body", "receives", "sent_ms"])
+
+
+def redeliver(spark: SparkSession, held: str, queue: str, checkpoint: str, every: str | None = "30 seconds") -> StreamingQuery:
+    """Put held messages back on the queue once they are due.
+
+    Only failed messages pass here. Each waits in state of its own under a processing-time timer, so the wait
+    survives a restart and needs no further message to end. ``every`` is the pace at which timers are looked
+    at; with None what is due now is released and the query ends (a job run from time to time).
+    """
+    # a restarted query looks at its timers only from its first batch on, and an empty file is enough for one
+    spark.createDataFrame([], HELD).write.mode("overwrite").parquet(f"{held}/start")
+    kind = "body string, receives int, sent_ms long, due_ms long"
+    messages = spark.readStream.schema(HELD).option("recursiveFileLookup", True).parquet(held).select(
+        "message_id", "body", "receives", F.unix_millis("sent_at").alias("sent_ms"), F.unix_millis("due").alias("due_ms"))
+    due = messages.groupBy("message_id").applyInPandasWithState(
+        _wait, "message_id string, body string, receives int, sent_ms long", kind, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+    def release(batch: DataFrame, batch_id: int) -> None:
+        if not batch.isEmpty():
+            send(batch.withColumn("sent_at", F.timestamp_millis("sent_ms")), queue, f"again-{batch_id}")
+
+    writer = due.writeStream.foreachBatch(release).option("checkpointLocation", checkpoint)
+    # timers make a stream that never runs dry, so "all that is available" would not end: one batch is a run
+    return (writer.trigger(once=True) if every is None else writer.trigger(processingTime=every)).start()

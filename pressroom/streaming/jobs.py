@@ -30,19 +30,24 @@ Handler = Callable[[DataFrame, int], DataFrame]
 
 
 def run(messages: DataFrame, handler: Handler, job: str, queue: str, rejects: str, checkpoint: str,
-        available_now: bool = True) -> StreamingQuery:
+        available_now: bool = True, held: str | None = None, delay: float = Q.REDELIVERY_SECONDS) -> StreamingQuery:
     """Run ``handler`` on every micro-batch of a queue.
 
     Repeated messages of a batch count once. The handler returns the messages it could
-    not handle (message_id, error): they go back to the queue until they have been
-    received five times, then to the rejects.
+    not handle (message_id, error): they come again until they have been received five times,
+    then they go to the rejects. With ``held`` they wait there for ``delay`` seconds, and a
+    ``queue.redeliver`` over that folder (one that lies outside the queue) brings them back;
+    without it they are on the queue again at once.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
         fresh = cut_lineage(latest(batch, ["message_id"], ["receives", "sent_at", "body"]))
         failed = cut_lineage(handler(fresh, batch_id).join(fresh, "message_id"))
-        again = failed.where(F.col("receives") < Q.MAX_RECEIVES)
+        again = failed.where(F.col("receives") < Q.MAX_RECEIVES).withColumn("receives", F.col("receives") + 1)
         if not again.isEmpty():
-            Q.send(again.withColumn("receives", F.col("receives") + 1), queue, f"retry-{job}-{batch_id}")
+            if held:
+                Q.hold(again, held, f"{job}-{batch_id}", delay)
+            else:
+                Q.send(again, queue, f"retry-{job}-{batch_id}")
         given_up = failed.where(F.col("receives") >= Q.MAX_RECEIVES)
         if not given_up.isEmpty():
             sinks.reject(given_up.select(F.lit(job).alias("job"), "message_id", "body", "error", "receives"),
@@ -52,6 +57,27 @@ def run(messages: DataFrame, handler: Handler, job: str, queue: str, rejects: st
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def count_interactions(messages: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Keep running counts of labelled and neutral interactions per reader as streaming state; see ``interaction_counts``.
+
+    A message counts once however often it is delivered: ids seen are state too, one short row each. The counts go on
+    where they stood after a restart from the checkpoint. Messages without a reader or a title are not counted.
+    """
+    once = messages.dropDuplicates(["message_id"])
+    seen = _interactions(once).where(f"{USER} is not null and title is not null")
+    counts = R.with_label(seen).groupBy(USER).agg(  # the state names its values by their functions: sum and count
+        F.sum((F.col("y") != 0).cast("long")).alias("labeled_count"), F.count("y").alias("all_count"))
+    writer = counts.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def interaction_counts(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """userid, labeled_count, neutral_count as of the last finished batch, read from the state itself."""
+    store = spark.read.format("statestore").option("operatorId", 0).load(checkpoint)
+    labelled, everything = F.col("value.sum"), F.col("value.count")
+    return store.select(F.col(f"key.{USER}").alias(USER), labelled.alias("labeled_count"), (everything - labelled).alias("neutral_count"))
+
+
 def router(log: str, train_queue: str, score_queue: str, clock=F.current_timestamp) -> Handler:
     """Log every event under its processing time, then pass it on to training or scoring."""
     def handle(batch: DataFrame, batch_id: int) -> DataFrame:

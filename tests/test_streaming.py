@@ -156,3 +156,60 @@ def test_enrich_with_provider(spark, tmp_path):
 def test_provider_is_not_called_without_content(spark):
     df = spark.createDataFrame([("r", None), ("r", "x")], "rules string, content string")
     assert [r.out for r in generate(df, "rules", "content", lambda r, c: c * 2, "out").collect()] == [None, "xx"]
+
+
+def test_failed_messages_come_again_after_the_delay(spark, tmp_path):
+    """Five attempts, each the delay after the one before; the wait goes on over restarts of every job."""
+    import time
+
+    delay, queue, held, attempts = 3.0, tmp_path / "queue", str(tmp_path / "held"), []
+    put(queue, "one.json", [("bad", "x"), ("good", "y")])
+
+    def handler(batch, batch_id):
+        got = {r.message_id: r.receives for r in batch.collect()}
+        if "bad" in got:
+            attempts.append((got["bad"], time.time()))
+        assert got.keys() <= {"bad"} or attempts[0][0] == got["bad"] == 1  # what was handled never comes again
+        return batch.where("message_id = 'bad'").selectExpr("message_id", "'no' as error")
+
+    end = time.time() + 90
+    while len(attempts) < Q.MAX_RECEIVES and time.time() < end:
+        J.run(Q.read_queue(spark, str(queue)), handler, "j", str(queue), str(tmp_path / "rejects"), str(tmp_path / "cp"),
+              held=held, delay=delay).awaitTermination()
+        Q.redeliver(spark, held, str(queue), str(tmp_path / "cp-held"), every=None).awaitTermination()
+    assert [n for n, _ in attempts] == [1, 2, 3, 4, 5]
+    assert all(b - a >= delay for (_, a), (_, b) in zip(attempts, attempts[1:]))
+    assert [(r.message_id, r.receives) for r in spark.read.parquet(str(tmp_path / "rejects")).collect()] == [("bad", 5)]
+
+
+def test_held_messages_need_no_other_message(spark, tmp_path):
+    """A running redelivery releases by its timer; copies of a message come back once."""
+    import time
+
+    held, queue = str(tmp_path / "held"), tmp_path / "queue"
+    m = spark.createDataFrame([("m", "body", 2, dt(2024, 1, 1)), ("m", "body", 3, dt(2024, 1, 1))],
+                              "message_id string, body string, receives int, sent_at timestamp")
+    Q.hold(m, held, "b", delay=4)
+    start = time.time()
+    q = Q.redeliver(spark, held, str(queue), str(tmp_path / "cp"), every="200 milliseconds")
+    while not queue.exists() and time.time() < start + 40:
+        time.sleep(0.2)
+    time.sleep(1)
+    q.stop()
+    back = Q.envelopes(spark.read.option("recursiveFileLookup", True).text(str(queue))).collect()
+    assert [(r.message_id, r.body, r.receives, r.sent_at) for r in back] == [("m", "body", 3, dt(2024, 1, 1))]
+
+
+def test_counts_survive_a_restart(spark, tmp_path):
+    queue, cp = tmp_path / "queue", str(tmp_path / "cp")
+    doc = lambda **c: event(**c)["fullDocument"]
+
+    def counts():
+        J.count_interactions(Q.read_queue(spark, str(queue)), cp).awaitTermination()
+        return {r.userid: (r.labeled_count, r.neutral_count) for r in J.interaction_counts(spark, cp).collect()}
+
+    put(queue, "a.json", [("m1", doc(isLiked=True)), ("m2", doc()), ("m3", doc(user="u2", isLiked=False)), ("m4", "{bad"), ("m5", doc(score=None))])
+    assert counts() == {"u1": (1, 2), "u2": (1, 0)}
+    put(queue, "b.json", [("m1", doc(isLiked=True)), ("m6", doc(isLiked=False)), ("m7", doc(user="u3"))])  # m1 is delivered again
+    assert counts() == {"u1": (2, 2), "u2": (1, 0), "u3": (0, 1)}
+    assert counts() == {"u1": (2, 2), "u2": (1, 0), "u3": (0, 1)}
