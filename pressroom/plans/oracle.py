@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+from string import ascii_lowercase
 
 from ..functions import text as X
-from ..schemas import category_names
+from ..schemas import RETAG_CATEGORIES, category_names
 
 SPACE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 WORD = r"[\p{L}\p{N}_]{2,}"
@@ -36,6 +37,16 @@ def _name(n: str, step: int) -> str:
     return f"list_extract({_LISTED}, (({n} * {step}) % {len(_NAMES)} + 1)::BIGINT)"
 
 
+_RETAG_NAMES = category_names(RETAG_CATEGORIES)
+_RETAG = _list(_RETAG_NAMES)
+
+
+def _letters(text: str) -> str:
+    """Counts of the letters a to z in either case."""
+    return "[" + ", ".join(f"(2 * length({text}) - length(replace({text}, '{c}', '')) - length(replace({text}, '{c.upper()}', '')))::DOUBLE"
+                           for c in ascii_lowercase) + "]"
+
+
 _REPLY = (f"'[\"' || {_name('doc_id', 1)} || '\", \"' || upper({_name('length(text)', 1)}) || '\", \"' || lang || "
           f"'\", \"5G\", \"' || lower({_name('doc_id', 3)}) || '!\", \"' || {_name('doc_id', 1)} || '\", \"' || "
           f"{_name('length(text)', 5)} || '\", \"' || {_name('length(text)', 7)} || '\", \"' || "
@@ -283,6 +294,16 @@ QUERIES: dict[str, str] = {
                      round(list_cosine_similarity(e.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) DESC, c.label) AS r
                  FROM embeddings e CROSS JOIN cats c)
         SELECT vec_id, string_agg('cat-' || label, ',' ORDER BY r) AS tags FROM near WHERE r <= 5 GROUP BY vec_id""",
+    "retag_articles": f"""
+        WITH cats AS (SELECT name, pos, {_letters('name')} AS v FROM (SELECT unnest({_RETAG}) AS name, unnest(range(0, {len(_RETAG_NAMES)})) AS pos)),
+        arts AS (SELECT doc_id, link, {_letters('textcontent')} AS v FROM backend WHERE textcontent IS NOT NULL AND trim(textcontent) <> ''),
+        near AS (SELECT doc_id, link, name, row_number() OVER (PARTITION BY doc_id ORDER BY
+                     round(list_cosine_similarity(a.v, c.v), 6) DESC, pos) AS r FROM arts a CROSS JOIN cats c WHERE list_sum(a.v) > 0),
+        tagged AS (SELECT doc_id, link, string_agg(name, ',' ORDER BY r) AS tags FROM near WHERE r <= 5 GROUP BY doc_id, link),
+        by_link AS (SELECT link, max_by(tags, doc_id) AS tags FROM tagged GROUP BY link)
+        SELECT 'backend' AS side, b.doc_id AS id, CASE WHEN t.doc_id IS NULL THEN {_TAGS('b.tags')} ELSE t.tags END AS tags
+        FROM backend b LEFT JOIN tagged t ON t.doc_id = b.doc_id
+        UNION ALL SELECT 'reader', event_id, coalesce(l.tags, 'old') FROM reader u LEFT JOIN by_link l ON l.link = u.href""",
     "validate_articles": """
         SELECT doc_id, problems, CASE WHEN problems = '' THEN link END AS link, CASE WHEN problems = '' THEN title END AS title,
                CASE WHEN problems = '' THEN createdat END AS pubdate

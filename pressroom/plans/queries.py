@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import replace
+from string import ascii_lowercase
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +23,10 @@ from ..operators import tfidf as V
 from ..operators import training as R
 from ..operators.selection import latest
 from ..session import cut_lineage, shared_dir
-from ..schemas import BACKEND_ARTICLE_JSON, USER_ARTICLE_JSON, category_names
+from ..schemas import BACKEND_ARTICLE_JSON, RETAG_CATEGORIES, USER_ARTICLE_JSON, category_names
 from ..sources import versions
 from ..sources.keyed import Channel, KeyedTable
-from ..sources.tables import decode_documents
+from ..sources.tables import categories, decode_documents
 from . import workload as W
 
 USER = R.USER
@@ -425,6 +427,20 @@ def topk_categories(spark: SparkSession, sf: str) -> DataFrame:
     return S.top_categories(e.select("vec_id", "embedding"), cats).select("vec_id", _joined(F.col("tags")).alias("tags"))
 
 
+def letters(texts: list[str]) -> np.ndarray:
+    """How often every letter from a to z occurs: an encoder that SQL can follow."""
+    return np.array([[t.count(c) + t.count(c.upper()) for c in ascii_lowercase] for t in texts], dtype=np.float32).reshape(-1, 26)
+
+
+def retag_articles(spark: SparkSession, sf: str) -> DataFrame:
+    """Both article tables tagged anew, end to end."""
+    backend = W.backend_articles(spark, sf, summary=False).select("doc_id", "link", "textcontent", "tags")
+    reader = W.user_articles(spark, sf).select("event_id", "href", F.array(F.lit("old")).alias("tags"))
+    articles, rows = S.retag(backend, reader, categories(spark, category_names(RETAG_CATEGORIES)), letters, "doc_id")
+    return articles.select(F.lit("backend").alias("side"), F.col("doc_id").alias("id"), _joined(F.col("tags")).alias("tags")) \
+        .unionByName(rows.select(F.lit("reader").alias("side"), F.col("event_id").alias("id"), _joined(F.col("tags")).alias("tags")))
+
+
 def train_models(spark: SparkSession, sf: str) -> DataFrame:
     """Fit every reader's model and report it (no SQL counterpart)."""
     m = P.train(W.training(spark, sf))
@@ -436,7 +452,7 @@ def train_models(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     training_rows, preference_labels, training_stats, label_split, balance_neutral, holdout_split, force_missing_class,
     oversample, neutral_skip, tfidf_vocab, tfidf_transform, ordered_tag_features, score_articles, score_struct,
-    no_model_users, identified_counts, topk_categories, train_models, validate_articles, scan_backend_articles,
+    no_model_users, identified_counts, topk_categories, retag_articles, train_models, validate_articles, scan_backend_articles,
     scan_user_articles, event_log_keys, article_archive, backend_to_user, route_events, unscored_articles,
     fetchable_pages, clean_pages, strip_urls, summary_guard, extractive_summary, parse_tags, keyword_tags,
     render_prompts, ngrams, reuse_processed, commit_ready, merge_backend, merge_user, late_enrichment, retag_merge,

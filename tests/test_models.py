@@ -223,13 +223,52 @@ def test_evaluate(spark):
     assert r[0].liked + r[0].disliked > 0
 
 
-def test_categories_in_blocks_equal_one_pass(spark):
+def brute_tags(vector, cats, keep=5):
+    x = np.array(vector, dtype=float)
+    near = [(-round(float(x @ c) / np.linalg.norm(x) / np.linalg.norm(c), 6), pos, name) for pos, name, c in cats if np.any(c)]
+    return [name for _, _, name in sorted(near)[:keep]]
+
+
+@pytest.mark.parametrize("n, block", [(0, 4), (3, 4), (10, 512), (23, 4), (5000, 512)])
+def test_nearest_categories_equal_brute_force(spark, n, block):
+    """Any number of categories, in clusters, with ties, vectors of norm 0, and articles without a vector."""
     rng = np.random.RandomState(3)
-    cats = spark.createDataFrame([(i, f"c{i}", rng.randn(8).tolist()) for i in range(23)], "pos int, name string, embedding array<float>")
-    vecs = spark.createDataFrame([(i, rng.randn(8).tolist()) for i in range(40)], "vec_id int, embedding array<float>")
-    one = {r.vec_id: r.tags for r in S.top_categories(vecs, cats).collect()}
-    many = {r.vec_id: r.tags for r in S.top_categories(vecs, cats, limit=4).collect()}
-    assert one == many and all(len(t) == 5 for t in one.values())
+    centres = rng.randn(12, 8) * 3
+    data = [(i, f"c{i}", (centres[i % 12] + rng.randn(8) * 0.5).round(2).tolist()) for i in range(n)]
+    if n > 20:
+        data[7], data[9], data[5] = (7, "c7", data[11][2]), (9, "c9", data[11][2]), (5, "c5", [0.0] * 8)
+    cats = spark.createDataFrame(data, "pos int, name string, embedding array<double>")
+    vectors = [(centres[i % 12] + rng.randn(8)).tolist() for i in range(60)] + [c[2] for c in data[:12]]
+    rows = list(enumerate(vectors)) + [(1000, None), (1001, [0.0] * 8), (1002, [float("nan")] * 8), (0, vectors[0])]
+    got = S.top_categories(spark.createDataFrame(rows, "vec_id int, embedding array<double>"), cats, block=block).collect()
+    assert len(got) == len(rows)
+    listed = [(p, m, np.array(v)) for p, m, v in data]
+    for r in got:
+        usable = r.embedding is not None and np.any(np.nan_to_num(r.embedding))
+        assert r.tags == (brute_tags(r.embedding, listed) if usable else None)
+
+
+def test_far_blocks_stay_shut(spark, monkeypatch):
+    rng = np.random.RandomState(5)
+    centres = np.eye(8)
+    cats = spark.createDataFrame([(i, f"c{i}", (centres[i % 8] + rng.randn(8) * 0.01).tolist()) for i in range(160)],
+                                 "pos int, name string, embedding array<double>")
+    folder, pivots, blocks = S._in_blocks(cats, 10)
+    opened, inner = [], S._open
+    monkeypatch.setattr(S, "_open", lambda f, b: opened.append(b) or inner(f, b))
+    tags = S._nearest(folder, pivots, blocks, 5).func(iter([pd.Series([centres[0]])]))
+    assert all(t in {f"c{i}" for i in range(0, 160, 8)} for t in next(tags)[0])
+    assert len(set(opened)) < len(blocks)
+
+
+def test_retag(spark):
+    backend = spark.createDataFrame([("a", "l", "aaa", ["x"]), ("b", "l", "bbb", None), ("c", "m", "  ", ["kept"]), ("d", None, "ab", []), ("e", "n", None, None)],
+                                    "_id string, link string, textcontent string, tags array<string>")
+    reader = spark.createDataFrame([(1, "l", ["x"]), (2, "l", None), (3, "m", ["kept"]), (4, None, ["kept"]), (5, "zz", None)], "id int, href string, tags array<string>")
+    cats = spark.createDataFrame([(0, "b"), (1, "a")], "pos int, name string")
+    new, rows = S.retag(backend, reader, cats, lambda texts: [[float(t.count("a")), float(t.count("b"))] for t in texts])
+    assert {r["_id"]: r.tags for r in new.collect()} == {"a": ["a", "b"], "b": ["b", "a"], "c": ["kept"], "d": ["b", "a"], "e": None}
+    assert {r.id: r.tags for r in rows.collect()} == {1: ["b", "a"], 2: ["b", "a"], 3: ["kept"], 4: ["kept"], 5: None}
 
 
 def test_embed(spark):
