@@ -8,10 +8,12 @@ which this does not hold (special tokens, white space beyond ASCII) are encoded
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .arrays import buffers, byte_set, slices
 
@@ -19,7 +21,8 @@ SPACE = byte_set((0x20, 0x20), (0x09, 0x0D))
 LETTER = byte_set((0x41, 0x5A), (0x61, 0x7A))
 SIGN = byte_set((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 _ODD = byte_set((0x1C, 0x1F), (0xC2, 0xC2), (0xE1, 0xE3))
-_LATIN = re.compile("[ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_LATIN = "^[ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+_LED = "^ [^ \t\n\r\x0b\x0c]"
 _WHOLE = re.compile(rb"<\||[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: Distinct pieces a worker remembers, and their characters; beyond that it forgets all and goes on (results are the same).
 REMEMBERED, REMEMBERED_CHARS = 400_000, 32 << 20
@@ -81,8 +84,9 @@ class Encoder:
         """Many one-word units in one call; where a unit begins or ends shows in its tokens."""
         for i in range(0, len(units), 1000):
             some = units[i:i + 1000]
-            text = " ".join(u.strip(" \n") for u in some) if self.word_ends else "".join(some)
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            text = " ".join(some) if self.word_ends else "".join(some)
+            found, = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)  # without offsets, which nobody reads
+            ids = np.array(found.ids, np.uint32)
             if self.word_ends:
                 ends = np.flatnonzero(self.last_of_unit[ids]) + 1
                 starts = np.concatenate([[0], ends[:-1]])
@@ -94,19 +98,18 @@ class Encoder:
             else:
                 self._plain(some)
 
-    def _entries(self, units: list[str]) -> np.ndarray:
+    def _entries(self, pieces: pa.Array) -> np.ndarray:
+        units = pieces.to_pylist()
         if len(self.entry) + len(units) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self._forget()
-        known = [self.entry.get(u, -1) for u in units]
-        if new := [u for u, e in zip(units, known, strict=True) if e < 0]:
-            if self.word_ends:
-                fast = [bool(_LATIN.fullmatch(u)) for u in new]
-            else:
-                fast = [len(u) > 1 and u[0] == " " and u[1] not in " \t\n\r\x0b\x0c" for u in new]
-            self._joined([u for u, f in zip(new, fast, strict=True) if f])
-            self._plain([u for u, f in zip(new, fast, strict=True) if not f])
-            known = [self.entry[u] for u in units]
-        return np.array(known, np.int64)
+        known = list(map(self.entry.get, units, itertools.repeat(-1)))
+        out = np.array(known, np.int64)
+        if len(new := np.flatnonzero(out < 0)):
+            fast = pc.match_substring_regex(pieces.take(pa.array(new)), _LATIN if self.word_ends else _LED).to_numpy(zero_copy_only=False)
+            self._joined([units[i] for i in new[fast].tolist()])
+            self._plain([units[i] for i in new[~fast].tolist()])
+            out[new] = [self.entry[units[i]] for i in new.tolist()]
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text begins (n + 1 offsets); null texts have none."""
@@ -135,7 +138,7 @@ class Encoder:
         at = np.append(start, n).astype(np.int32)
         units = pa.StringArray.from_buffers(len(start), pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data)))
         coded = units.dictionary_encode()
-        entry = self._entries(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        entry = self._entries(coded.dictionary)[coded.indices.to_numpy()]
         length, at = self.length[entry], self.at[entry]
         ends = np.cumsum(length)
         ids = self.pool[np.repeat(at - (ends - length), length) + np.arange(ends[-1])]
