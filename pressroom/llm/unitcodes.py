@@ -24,7 +24,8 @@ _ODD = byte_set((0x1C, 0x1F), (0xC2, 0xC2), (0xE1, 0xE3))
 _LATIN = "^[ \n]?[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 _LED = "^ [^ \t\n\r\x0b\x0c]"
 _WHOLE = re.compile(rb"<\||[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-#: Distinct pieces a worker remembers, and their characters; beyond that it forgets all and goes on (results are the same).
+#: Distinct pieces a worker remembers, and their characters; beyond that it forgets those met once, or all if
+#: that leaves more than half (results are the same).
 REMEMBERED, REMEMBERED_CHARS = 400_000, 32 << 20
 SLICE = 8 << 20  # bytes of text handled at once, or one longer text
 
@@ -58,18 +59,29 @@ class Encoder:
     def _forget(self) -> None:
         self.entry: dict[str, int] = {}
         self.chars = 0
-        self.at, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.at, self.length, self.again = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, bool)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
+    def _forget_rare(self) -> None:
+        """Keep the pieces that were met again since the last time."""
+        kept = np.flatnonzero(self.again[:len(self.entry)])
+        units = list(itertools.compress(self.entry, self.again.tolist()))
+        at, length = self.at[kept], self.length[kept]
+        ids = self.pool[np.repeat(at - (np.cumsum(length) - length), length) + np.arange(length.sum())]
+        self._forget()
+        if len(units) <= REMEMBERED // 2 and sum(map(len, units)) <= REMEMBERED_CHARS // 2:
+            self._learn(units, ids, length)
+
     def _learn(self, units: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         k = len(self.entry)
         while k + len(units) > len(self.at):
-            self.at, self.length = np.resize(self.at, 2 * len(self.at)), np.resize(self.length, 2 * len(self.length))
+            self.at, self.length, self.again = (np.resize(x, 2 * len(x)) for x in (self.at, self.length, self.again))
         while self.used + len(ids) > len(self.pool):
             self.pool = np.resize(self.pool, 2 * len(self.pool))
         self.pool[self.used:self.used + len(ids)] = ids
         self.at[k:k + len(units)] = self.used + np.cumsum(lengths) - lengths
         self.length[k:k + len(units)] = lengths
+        self.again[k:k + len(units)] = False
         self.used += len(ids)
         self.chars += sum(map(len, units))
         self.entry.update(zip(units, range(k, k + len(units)), strict=True))
@@ -101,14 +113,14 @@ class Encoder:
     def _entries(self, pieces: pa.Array) -> np.ndarray:
         units = pieces.to_pylist()
         if len(self.entry) + len(units) > REMEMBERED or self.chars > REMEMBERED_CHARS:
-            self._forget()
-        known = list(map(self.entry.get, units, itertools.repeat(-1)))
-        out = np.array(known, np.int64)
+            self._forget_rare()
+        out = np.array(list(map(self.entry.get, units, itertools.repeat(-1))), np.int64)
+        self.again[out[out >= 0]] = True
         if len(new := np.flatnonzero(out < 0)):
             fast = pc.match_substring_regex(pieces.take(pa.array(new)), _LATIN if self.word_ends else _LED).to_numpy(zero_copy_only=False)
-            self._joined([units[i] for i in new[fast].tolist()])
-            self._plain([units[i] for i in new[~fast].tolist()])
-            out[new] = [self.entry[units[i]] for i in new.tolist()]
+            for some, learn in ((new[fast], self._joined), (new[~fast], self._plain)):
+                out[some] = len(self.entry) + np.arange(len(some))  # entries are numbered as they are learned
+                learn([units[i] for i in some.tolist()])
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +153,9 @@ class Encoder:
         entry = self._entries(coded.dictionary)[coded.indices.to_numpy()]
         length, at = self.length[entry], self.at[entry]
         ends = np.cumsum(length)
-        ids = self.pool[np.repeat(at - (ends - length), length) + np.arange(ends[-1])]
+        place = np.repeat(at - (ends - length), length)
+        place += np.arange(ends[-1])
+        ids = self.pool.take(place)
         first = np.searchsorted(start, offsets)
         ends = np.concatenate([[0], ends])
         counts = ends[first[1:]] - ends[first[:-1]]
