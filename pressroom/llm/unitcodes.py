@@ -1,7 +1,7 @@
 """Token ids of many texts: each distinct piece of text goes through the tokenizer once per worker.
 
 A text is cut where the tokenizer's own splitting always cuts: before a run of white space, between
-an ASCII letter and an ASCII sign other than the apostrophe, and after a single line feed before a
+a letter (ASCII, or À to ÿ) and an ASCII sign other than the apostrophe, and after a single line feed before a
 letter. The ids of a text are the ids of its pieces, one after the other. Texts holding characters for
 which this does not hold (special tokens, white space beyond ASCII) are encoded whole.
 """
@@ -140,7 +140,11 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         space, letter, sign = SPACE[data], LETTER[data], SIGN[data]
         cut = np.zeros(n, bool)
-        cut[1:] = space[1:] & ~space[:-1] | letter[:-1] & sign[1:] | sign[:-1] & letter[1:]
+        starts, ends = letter.copy(), letter.copy()  # of letters, those of two bytes from À to ÿ among them
+        pair = np.flatnonzero(data[:-1] == 0xC3)
+        pair = pair[(data[pair + 1] != 0x97) & (data[pair + 1] != 0xB7)]
+        starts[pair] = ends[pair + 1] = True
+        cut[1:] = space[1:] & ~space[:-1] | ends[:-1] & sign[1:] | sign[:-1] & starts[1:]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         feed = data == 0x0A
