@@ -1,30 +1,42 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
 Every page is parsed into a tree of elements. The pages of a host are aligned with one of them, the seed, by
-simple tree matching (equal labels in order, the largest number of matched nodes). Over all distinct pages
-of the host, a seed node whose text stays the same is template; where it varies, its text counts for the node.
-The content slot is found from the top: as long as one child container holds most of the varying text,
-it is the slot. From each page the node aligned with the slot gives the text, without
-elements that are boilerplate by name (menus, headers, footers, adverts, forms, comments ...).
+simple tree matching: equal labels in order, the largest number of matched nodes, and among such alignments one
+with the most equal texts. Over all distinct pages of the host, a seed block whose text stays the same, with all below it, is
+template, inside the slot too (but not inside an article element, which says itself what the article is); where text varies, it counts for its node. The content slot is found from the top: as long as one
+child container holds most of the varying text, it is the slot. From each page the node aligned with the slot gives the
+text, without template nodes and without the elements HTML has for other things (menus, footers, forms ...).
+
+Names of classes only settle what alignment leaves open. A container all of whose name speaks of boilerplate
+("ad", "share-buttons", not "search-history") is left out, unless ``MOST`` of the varying text of its host
+lies in it; names of text blocks (paragraphs, headings, quotes) count for nothing; reader comments, which vary as the article
+does, are known by name alone.
+
+A page most of whose text is the seed's is a near copy and has no say in what is template. A host of fewer than
+``least_pages`` other pages has no template, and pages of such hosts, or without the slot, are read by the same descent over
+their own text, by the same names.
 
 Only skeletons (labels, text hashes and lengths) are shuffled to find the seed and the wrapper; a task adds up
 its pages before anything is sent on, and the joins on the host are plain skew joins, so a host with a third
-of all pages is split. Hosts of one page, and pages whose tree lacks the slot, are read by the same descent
-over their own text.
+of all pages is split. Lists of children are matched in memory of their length times its square root.
 
 Null and empty html give empty text; a null url is a host of its own; repeated pages give a row each but
-count once for the wrapper; an empty table gives no row; other columns are not read.
+count once for the wrapper; pages may be nested thousands deep; an empty table gives no row; other columns are not read.
+Texts count as equal by 64 bits of their digest.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
+import math
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,24 +58,32 @@ HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 DROPPED = frozenset(
     "head script style noscript template nav aside footer form select button input textarea iframe svg canvas object embed "
     "audio video map dialog menu title xmp noembed noframes".split())
-WORDS = frozenset(
+COMMENTS = frozenset("comment comments commentlist reply replies respond disqus".split())
+WORDS = COMMENTS | frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar side-bar menu nav navbar "
     "navigation breadcrumb breadcrumbs footer masthead topbar toolbar cookie cookies consent gdpr notice notices banner popup modal "
-    "overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments "
-    "commentlist reply replies respond disqus search widget pagination pager alert outbrain taboola".split())
+    "overlay newsletter subscribe subscription signup login share sharing social related recommended search widget pagination "
+    "pager alert outbrain taboola".split())
+BESIDE = frozenset(  # may stand beside one of them in a name
+    "area articles bar block body bottom box buttons container content count form group header inner item items left links list "
+    "main outer panel posts right row section site slot thread top unit wrap wrapper zone".split())
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 CONTAINERS = frozenset("html body div section article main td table tbody tr center span".split())
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>?", re.S)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
-LARGE = 250_000  # cells of an alignment; beyond that, equal subtrees in order are aligned instead
+MOST = 0.5
+COPY = 0.8  # share of equal text from which a page is a near copy of the seed
+WIDE = 2_000  # pairs of children from which rows are filled as arrays, to the same result
 
 
 class Tree:
     """Elements in page order; node 0 is the page."""
 
     def __init__(self) -> None:
-        self.label, self.tag, self.parent, self.children, self.drop = ["#"], ["#"], [-1], [[]], [False]
+        self.label, self.tag, self.parent, self.children = ["#"], ["#"], [-1], [[]]
+        self.drop = [0]  # 1 by its name, 2 by its element or as comments
         self.pieces: list[tuple[int, str]] = []  # text, or a break where it is empty
 
     def add(self, tag: str, names: str, parent: int) -> int:
@@ -73,7 +93,7 @@ class Tree:
         self.parent.append(parent)
         self.children[parent].append(node)
         self.children.append([])
-        self.drop.append(tag in DROPPED or bool(names) and _boiler(names))
+        self.drop.append(2 if tag in DROPPED else _boiler(names) if names and tag not in TEXTUAL else 0)
         return node
 
     def own_text(self) -> list[list[str]]:
@@ -85,8 +105,13 @@ class Tree:
 
 
 @lru_cache(1 << 14)
-def _boiler(names: str) -> bool:
-    return any(w in WORDS for name in names.lower().split() for w in (name, *re.split("[-_:]", name)))
+def _boiler(names: str) -> int:
+    found = 0
+    for name in names.lower().split():
+        parts = [name] if name in WORDS else [p for p in re.split("[-_:0-9]+", name) if p]
+        if any(p in WORDS for p in parts) and all(p in WORDS or p in BESIDE for p in parts):
+            found = max(found, 2 if any(p in COMMENTS for p in parts) else 1)
+    return found
 
 
 def parse(page: str) -> Tree:
@@ -150,8 +175,12 @@ def _close(tree: Tree, stack: list[int], tags: set[str], holders: set[str] | fro
 def skeleton(tree: Tree) -> dict:
     """Labels, parents, and per node the hash and length of its own text."""
     texts = [" ".join("".join(t).split()) for t in tree.own_text()]
-    return {"label": tree.label, "parent": tree.parent, "hash": [zlib.crc32(t.encode()) if t else 0 for t in texts],
-            "chars": [len(t) for t in texts], "drop": [int(d) for d in tree.drop]}
+    return {"label": tree.label, "parent": tree.parent, "hash": [_digest(t) if t else 0 for t in texts],
+            "chars": [len(t) for t in texts], "drop": tree.drop}
+
+
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1 | 1
 
 
 class Skeleton:
@@ -168,32 +197,77 @@ class Skeleton:
             self.size[i] += sum(self.size[c] for c in self.children[i])
 
 
+NODE = 1 << 24  # of a score: matched nodes first, equal texts second
+
+
 def align(a: Skeleton, b: Skeleton) -> list[int]:
     """For each node of a, the node of b that simple tree matching gives it, or -1."""
     scores: dict[tuple[int, int], int] = {}
     found = [-1] * len(a.label)
 
+    def pair(i: int, j: int) -> int:
+        """Score of two nodes of one label whose children are settled."""
+        if not a.children[i] or not b.children[j]:
+            return NODE + (a.hash[i] == b.hash[j] != 0)
+        if (i, j) not in scores:  # of one shape: node by node
+            scores[i, j] = a.size[i] * NODE + sum(map(_equal, a.hash[i:i + a.size[i]], b.hash[j:j + a.size[i]]))
+        return scores[i, j]
+
     def rows(x: list[int], y: list[int]) -> list[list[int]]:
         table = [[0] * (len(y) + 1)]
         for i in x:
-            above, row, best = table[-1], [0], 0
+            above, row, best, label = table[-1], [0], 0, a.label[i]
             for k, j in enumerate(y):
                 v = above[k + 1] if above[k + 1] > best else best
-                if a.label[i] == b.label[j] and (w := above[k] + score(i, j)) > v:
+                if label == b.label[j] and (w := above[k] + pair(i, j)) > v:
                     v = w
                 row.append(v)
                 best = v
             table.append(row)
         return table
 
+    def row_by_row(x: list[int], y: list[int], above: np.ndarray):
+        """The same rows, each as an array after ``above``."""
+        numbers = {label: n for n, label in enumerate({b.label[j] for j in y})}
+        labels, texts = np.array([numbers[b.label[j]] for j in y]), np.array([b.hash[j] for j in y])
+        parents = [k for k, j in enumerate(y) if b.children[j]]
+        for i in x:
+            same = labels == numbers.get(a.label[i], -1)
+            gain = np.where(same, NODE + ((texts == a.hash[i]) & (texts != 0)), 0)
+            if a.children[i]:
+                for k in parents:
+                    if same[k]:
+                        gain[k] = pair(i, y[k])
+            row = np.concatenate([[0], np.maximum(above[1:], above[:-1] + gain)])
+            above = np.maximum.accumulate(row)
+            yield above
+
+    def best(x: list[int], y: list[int]) -> int:
+        if len(x) * len(y) < WIDE:
+            return rows(x, y)[-1][-1]
+        last = np.zeros(len(y) + 1, np.int64)
+        for last in row_by_row(x, y, last):
+            pass
+        return int(last[-1])
+
+    def matched(x: list[int], y: list[int]) -> list[tuple[int, int]]:
+        """Pairs of a best alignment of two lists of children."""
+        if len(x) * len(y) < WIDE:
+            return _trace(x, y, rows(x, y), len(y))[0]
+        step, out, q = math.isqrt(len(x)) + 1, [], len(y)
+        kept = [np.zeros(len(y) + 1, np.int64)]  # every step-th row; the rows between are filled again
+        for n, row in enumerate(row_by_row(x, y, kept[0]), 1):
+            if n % step == 0:
+                kept.append(row)
+        for n in range(len(kept) - 1, -1, -1):
+            part = x[n * step:(n + 1) * step]
+            more, q = _trace(part, y, [kept[n], *row_by_row(part, y, kept[n])], q)
+            out += more
+        return out
+
     def open_pair(i: int, j: int) -> bool:
         return bool(a.children[i]) and bool(b.children[j]) and a.shape[i] != b.shape[j] and (i, j) not in scores
 
-    def score(i: int, j: int) -> int:
-        if not a.children[i] or not b.children[j]:
-            return 1
-        return a.size[i] if a.shape[i] == b.shape[j] else scores[i, j]
-
     def settle(i: int, j: int) -> None:
         """Scores of a pair and of all pairs below it, children first; a page may be nested thousands deep."""
         stack = [(i, j)]
@@ -203,24 +277,11 @@ def align(a: Skeleton, b: Skeleton) -> list[int]:
                 stack.pop()
                 continue
             x, y = a.children[i], b.children[j]
-            if len(x) * len(y) > LARGE:
-                scores[i, j] = 1 + sum(min(a.size[p], b.size[q]) for p, q in in_order(x, y))
-            elif below := [(p, q) for p in x for q in y if a.label[p] == b.label[q] and open_pair(p, q)]:
+            inner = [q for q in y if b.children[q]]
+            if below := [(p, q) for p in x if a.children[p] for q in inner if a.label[p] == b.label[q] and open_pair(p, q)]:
                 stack += below
             else:
-                scores[i, j] = 1 + rows(x, y)[-1][-1]
-
-    def in_order(x: list[int], y: list[int]) -> list[tuple[int, int]]:
-        """Long lists: children of the same label from both ends inwards."""
-        out, k = [], 0
-        while k < min(len(x), len(y)) and a.label[x[k]] == b.label[y[k]]:
-            out.append((x[k], y[k]))
-            k += 1
-        e = 1
-        while e <= min(len(x), len(y)) - k and a.label[x[-e]] == b.label[y[-e]]:
-            out.append((x[-e], y[-e]))
-            e += 1
-        return out
+                scores[i, j] = NODE + (a.hash[i] == b.hash[j] != 0) + best(x, y)
 
     todo = [(0, 0)]
     while todo:
@@ -231,32 +292,44 @@ def align(a: Skeleton, b: Skeleton) -> list[int]:
             continue
         if a.shape[i] == b.shape[j]:
             todo += zip(x, y, strict=True)
-        elif len(x) * len(y) > LARGE:
-            todo += in_order(x, y)
         else:
             settle(i, j)
-            table, p, q = rows(x, y), len(x), len(y)
-            while p and q:
-                v = table[p][q]
-                if v == table[p - 1][q]:
-                    p -= 1
-                elif v == table[p][q - 1]:
-                    q -= 1
-                else:
-                    p, q = p - 1, q - 1
-                    todo.append((x[p], y[q]))
+            todo += matched(x, y)
     return found
 
 
-def descend(s: Skeleton, mass: list[float], share: float = 0.6) -> int:
-    """The content slot: from the top, the child container with most of the mass outside boilerplate."""
-    total = [0.0 if s.drop[i] else float(mass[i]) for i in range(len(s.label))]
+def _equal(x: int, y: int) -> bool:
+    return x == y != 0
+
+
+def _trace(x: list[int], y: list[int], table: list, q: int) -> tuple[list[tuple[int, int]], int]:
+    """Pairs on the way back from the last row and column q, and the column where it reaches the first row."""
+    p, out = len(x), []
+    while p and q:
+        v = table[p][q]
+        if v == table[p - 1][q]:
+            p -= 1
+        elif v == table[p][q - 1]:
+            q -= 1
+        else:
+            p, q = p - 1, q - 1
+            out.append((x[p], y[q]))
+    return out, q
+
+
+def sums_below(s: Skeleton, mass: list[float], out: list[bool]) -> list[float]:
+    total = [0.0 if o else float(m) for m, o in zip(mass, out, strict=True)]
     for i in range(len(total) - 1, 0, -1):
-        if not s.drop[s.parent[i]] and not s.drop[i]:
+        if not out[i] and not out[s.parent[i]]:
             total[s.parent[i]] += total[i]
-    node = 0
+    return total
+
+
+def descend(s: Skeleton, mass: list[float], out: list[bool], share: float = 0.6) -> int:
+    """The content slot: from the top, the child container with most of the mass outside boilerplate."""
+    total, node = sums_below(s, mass, out), 0
     while total[node] > 0:
-        inside = [c for c in s.children[node] if not s.drop[c] and s.label[c].split(".")[0] in CONTAINERS]
+        inside = [c for c in s.children[node] if not out[c] and s.label[c].split(".")[0] in CONTAINERS]
         best = max(inside, key=lambda c: total[c], default=None)
         if best is None or total[best] < share * total[node] or s.label[node].split(".")[0] == "article":
             break
@@ -270,19 +343,20 @@ def own_slot(s: Skeleton) -> int:
         named = [i for i, x in enumerate(s.label) if x.split(".")[0] == tag and not s.drop[i]]
         if len(named) == 1:
             return named[0]
-    return descend(s, s.chars)
+    return descend(s, s.chars, [d > 0 for d in s.drop])
 
 
-def extract(tree: Tree, slot: int, template: set[int]) -> str:
-    """Text below the slot, blocks joined by one space."""
+def extract(tree: Tree, slot: int, template: set[int], content: set[int]) -> str:
+    """Text below the slot, blocks joined by one space; ``content`` is what alignment keeps in spite of its name."""
     n = len(tree.tag)
+    out = [d == 2 or d == 1 and i not in content for i, d in enumerate(tree.drop)]
     state = [0] * n  # 1 inside, 2 inside and dropped
     articles = [False] * n
     for i in range(1, n):
         p = tree.parent[i]
         articles[i] = articles[p] or tree.tag[i] == "article"
-        if state[p] == 2 or (i == slot or state[p] == 1) and i != slot and (
-                tree.drop[i] or i in template or tree.tag[i] == "header" and not articles[p]):
+        out[i] |= not articles[i] and (i in template or tree.tag[i] == "header")
+        if state[p] == 2 or (i == slot or state[p] == 1) and i != slot and out[i]:
             state[i] = 2
         elif i == slot or state[p]:
             state[i] = 1
@@ -290,18 +364,23 @@ def extract(tree: Tree, slot: int, template: set[int]) -> str:
         state[0] = 1
         for i in range(1, n):
             p = tree.parent[i]
-            state[i] = 2 if state[p] == 2 or tree.drop[i] or i in template or tree.tag[i] == "header" and not articles[p] else 1
+            state[i] = 2 if state[p] == 2 or out[i] else 1
     return " ".join("".join(t or " " for i, t in tree.pieces if state[i] == 1 or not t).split())
 
 
 class Wrapper:
-    """Sums over the pages of a host: per seed node, pages matched, pages with the same text, varying characters."""
+    """Sums over the pages of a host: per seed node, pages matched, pages with the same text, varying characters.
+    Node -1 counts the pages, and those that are no near copies of the seed."""
 
     def __init__(self, seed: Skeleton):
-        self.seed, self.sums = seed, {}
+        self.seed, self.sums = seed, {-1: [0, 0, 0]}
 
     def add(self, page: Skeleton) -> None:
         pairs = align(page, self.seed)
+        same = [j >= 0 and page.hash[i] == self.seed.hash[j] for i, j in enumerate(pairs)]
+        votes = int(sum(c for c, e in zip(page.chars, same, strict=True) if e) < COPY * sum(page.chars))
+        self.sums[-1][0] += 1
+        self.sums[-1][1] += votes
         for i, j in enumerate(pairs):
             k = i
             while j < 0:  # text without a counterpart counts for the nearest ancestor that has one
@@ -309,27 +388,35 @@ class Wrapper:
                 j = pairs[k]
             one = self.sums.setdefault(j, [0, 0, 0])
             if k == i:
-                one[0] += 1
-                if page.hash[i] == self.seed.hash[j]:
-                    one[1] += 1
-                    continue
-            one[2] += page.chars[i]
+                one[0] += votes
+                one[1] += votes * same[i]
+            if not same[i]:
+                one[2] += page.chars[i]
 
 
-def choose(seed: Skeleton, sums: dict[int, list[int]], pages: int, least_pages: int | None, constant: float) -> tuple[int, list[int]]:
-    """(slot, template nodes); slot -1 where nothing varies."""
+def choose(seed: Skeleton, sums: dict[int, list[int]], least_pages: int, constant: float) -> tuple[int, list[int], list[int]]:
+    """(slot, template nodes, nodes kept in spite of their names); slot -1 where nothing varies."""
+    pages, votes, _ = sums.pop(-1)
     mass = [sums.get(i, (0, 0, 0))[2] for i in range(len(seed.label))]
-    slot = descend(seed, mass) if pages > 1 else 0
-    fixed = []
-    if least_pages is not None and pages >= least_pages:
-        fixed = [i for i, (m, e, _) in sums.items() if seed.hash[i] and not seed.children[i] and m >= pages / 2 and e >= constant * m]
-    return slot or -1, sorted(fixed)
-
-
-def extract_text(pages: DataFrame, least_pages: int | None = None, constant: float = 0.9, id_col: str = "page_id",
+    varying = sums_below(seed, mass, [d == 2 for d in seed.drop])
+    content = [i for i, d in enumerate(seed.drop) if d == 1 and varying[i] > 0 and varying[i] >= MOST * varying[0]]
+    kept = set(content)
+    slot = descend(seed, mass, [d == 2 or d == 1 and i not in kept for i, d in enumerate(seed.drop)]) if pages > 1 else 0
+    # a node is template with all below it, or not at all; without text it is as its children are
+    fixed = [votes >= least_pages] * len(seed.label)
+    for i in range(len(fixed) - 1, 0, -1):
+        if seed.hash[i] and fixed[i]:
+            m, e, _ = sums.get(i, (0, 0, 0))
+            fixed[i] = 2 * m >= votes and e >= constant * m
+        if not fixed[i] and i:
+            fixed[seed.parent[i]] = False
+    return slot or -1, [i for i, f in enumerate(fixed) if f and seed.hash[i]], content
+
+
+def extract_text(pages: DataFrame, least_pages: int = 5, constant: float = 0.9, id_col: str = "page_id",
                  url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars of every page. The slot is kept whole; given ``least_pages``, template nodes inside
-    it are left out where the host has so many distinct pages and the text is the same in ``constant`` of them."""
+    """page_id, url, text, n_chars of every page. A node is template where its text is the same in ``constant`` of the
+    pages it is matched in, those are half or more of its host's pages, and the host has ``least_pages`` besides near copies of the seed."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)", 1))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                         F.col(html_col).cast("string").alias("html"), host.alias("host"))
@@ -340,25 +427,22 @@ def extract_text(pages: DataFrame, least_pages: int | None = None, constant: flo
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["host", "page"])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, seed, wrapper, n = None, None, None, 0
-        schema = pa.schema([("host", pa.string()), ("node", pa.int64()), ("pages", pa.int64()), ("matched", pa.int64()),
+        name, seed, wrapper = None, None, None
+        schema = pa.schema([("host", pa.string()), ("node", pa.int64()), ("matched", pa.int64()),
                             ("equal", pa.int64()), ("chars", pa.int64())])
 
         def sums() -> pa.RecordBatch:
-            out = [{"host": name, "node": j, "pages": 0, "matched": m, "equal": e, "chars": c}
+            out = [{"host": name, "node": j, "matched": m, "equal": e, "chars": c}
                    for j, (m, e, c) in wrapper.sums.items()] if wrapper else []
-            if out:
-                out.append({"host": name, "node": -1, "pages": n, "matched": 0, "equal": 0, "chars": 0})
             return pa.RecordBatch.from_pylist(out, schema=schema)
 
         for batch in batches:
             for host, page, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if wrapper is None or host != name or raw != seed:
                     yield sums()
-                    name, seed, n = host, raw, 0
+                    name, seed = host, raw
                     wrapper = Wrapper(Skeleton(json.loads(zlib.decompress(raw))))
                 wrapper.add(Skeleton(json.loads(zlib.decompress(page))))
-                n += 1
         yield sums()
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,30 +450,33 @@ def extract_text(pages: DataFrame, least_pages: int | None = None, constant: flo
             out = []
             for host, raw, nodes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 seed = Skeleton(json.loads(zlib.decompress(raw)))
-                count = sum(x["pages"] for x in nodes)
-                got = {x["node"]: [x["matched"], x["equal"], x["chars"]] for x in nodes if x["node"] >= 0}
-                slot, fixed = choose(seed, got, count, least_pages, constant)
-                out.append({"host": host, "seed": raw, "slot": slot, "fixed": fixed})
+                slot, fixed, content = choose(seed, {x["node"]: [x["matched"], x["equal"], x["chars"]] for x in nodes}, least_pages, constant)
+                out.append({"host": host, "seed": raw, "slot": slot, "fixed": fixed, "content": content})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([
-                ("host", pa.string()), ("seed", pa.binary()), ("slot", pa.int64()), ("fixed", pa.list_(pa.int64()))]))
+                ("host", pa.string()), ("seed", pa.binary()), ("slot", pa.int64()), ("fixed", pa.list_(pa.int64())), ("content", pa.list_(pa.int64()))]))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seed = None, None
         for batch in batches:
             texts = []
-            for page, raw, slot, fixed in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+            for page, raw, slot, fixed, content in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
                 tree = parse(page or "")
-                mine, node, template = Skeleton(skeleton(tree)), -1, set()
+                mine, node, template, kept = Skeleton(skeleton(tree)), -1, set(), set()
                 if raw is not None and slot >= 0:
                     if raw != last:
                         last, seed = raw, Skeleton(json.loads(zlib.decompress(raw)))
-                    pairs, fixed = align(mine, seed), set(fixed)
+                    pairs, fixed, content = align(mine, seed), set(fixed), set(content)
+                    same = [h == 0 or j in fixed and h == seed.hash[j] for h, j in zip(mine.hash, pairs, strict=True)]
+                    for i in range(len(pairs) - 1, 0, -1):  # all below must be template on this page too
+                        same[mine.parent[i]] &= same[i]
                     for i, j in enumerate(pairs):
                         if j == slot:
                             node = i
-                        if j in fixed and mine.hash[i] == seed.hash[j]:
+                        if same[i] and tree.tag[i] not in INLINE:
                             template.add(i)
-                texts.append(extract(tree, node if node >= 0 else own_slot(mine), template))
+                        if j in content:
+                            kept.add(i)
+                texts.append(extract(tree, node if node >= 0 else own_slot(mine), template, kept))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"])
@@ -399,10 +486,10 @@ def extract_text(pages: DataFrame, least_pages: int | None = None, constant: flo
     seeds = bones.groupBy("host").agg(F.min(F.struct(F.xxhash64("page").alias("h"), "page")).alias("m")).select(
         "host", F.col("m.page").alias("seed"))
     sums = (bones.join(seeds, "host").sortWithinPartitions("host").select("host", "page", "seed")
-            .mapInArrow(add_up, "host string, node long, pages long, matched long, equal long, chars long")
-            .groupBy("host", "node").agg(*(F.sum(c).alias(c) for c in ("pages", "matched", "equal", "chars")))
-            .groupBy("host").agg(F.collect_list(F.struct("node", "pages", "matched", "equal", "chars")).alias("nodes")))
+            .mapInArrow(add_up, "host string, node long, matched long, equal long, chars long")
+            .groupBy("host", "node").agg(*(F.sum(c).alias(c) for c in ("matched", "equal", "chars")))
+            .groupBy("host").agg(F.collect_list(F.struct("node", "matched", "equal", "chars")).alias("nodes")))
     wrappers = seeds.join(sums, "host").select("host", "seed", "nodes").mapInArrow(
-        settle, "host string, seed binary, slot long, fixed array<long>")
-    return rows.join(wrappers, "host", "left").select("page_id", "url", "html", "seed", "slot", "fixed").mapInArrow(
+        settle, "host string, seed binary, slot long, fixed array<long>, content array<long>")
+    return rows.join(wrappers, "host", "left").select("page_id", "url", "html", "seed", "slot", "fixed", "content").mapInArrow(
         read, "page_id long, url string, text string, n_chars long")

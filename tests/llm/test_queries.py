@@ -400,6 +400,73 @@ def test_op6_deep_pages(spark):
     assert {r.page_id for r in got if f"Only text {r.page_id}" in r.text} == {0, 1, 2, 3}
 
 
+def aligned_texts(pages):
+    """Best (matched nodes, equal texts) by plain recursion, and what the operator's pairs reach."""
+    a, b = (wrapper.Skeleton(wrapper.skeleton(wrapper.parse(p))) for p in pages)
+
+    def best(i, j):
+        x, y = a.children[i], b.children[j]
+        table = [[(0, 0)] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for p in range(len(x)):
+            for q in range(len(y)):
+                options = [table[p][q + 1], table[p + 1][q]]
+                if a.label[x[p]] == b.label[y[q]]:
+                    options.append(tuple(map(sum, zip(table[p][q], best(x[p], y[q]), strict=True))))
+                table[p + 1][q + 1] = max(options)
+        n, e = table[-1][-1]
+        return n + 1, e + (a.hash[i] == b.hash[j] != 0)
+
+    pairs = wrapper.align(a, b)
+    got = [(i, j) for i, j in enumerate(pairs) if j >= 0]
+    assert all(a.label[i] == b.label[j] and (not i or pairs[a.parent[i]] == b.parent[j]) for i, j in got)
+    assert all(j < k for (i, j), (h, k) in zip(got, got[1:]) if a.parent[i] == a.parent[h])
+    return best(0, 0), (len(got), sum(a.hash[i] == b.hash[j] != 0 for i, j in got))
+
+
+@pytest.mark.parametrize("wide", [wrapper.WIDE, 0])
+def test_op6_alignment_is_best(wide, monkeypatch):
+    monkeypatch.setattr(wrapper, "WIDE", wide)
+    rng = np.random.default_rng(3)
+
+    def page(depth=0):
+        kids = "".join(page(depth + 1) for _ in range(rng.integers(0, 5))) if depth < 4 else ""
+        tag = ("div", "section", "b")[rng.integers(0, 3)]
+        return f"<{tag}>{('', 'x', 'y')[rng.integers(0, 3)]}{kids}</{tag}>"
+
+    for _ in range(60):
+        want, got = aligned_texts(["".join(page() for _ in range(3)) for _ in range(2)])
+        assert got == want
+
+
+def test_op6_long_lists_of_children():
+    a, b = (wrapper.Skeleton(wrapper.skeleton(wrapper.parse("".join(f"<{t}>{i}</{t}>" for i, t in enumerate(tags))))) for tags in (
+        ["p", "h2", "p"] * 700, ["p", "p", "h2"] * 700))
+    assert sum(j >= 0 for j in wrapper.align(a, b)) == 2100  # the page, and all children but one
+
+
+def test_op6_template_by_alignment(spark):
+    """Hosts without an article element: what stays the same goes, what varies stays, names or not."""
+    def page(host, i):
+        words = " ".join(f"{host}{i}word{k}" for k in range(30))
+        extra = "".join(f"<p>{host} extra {i} {k}</p>" for k in range(i % 4))
+        notice = f"<div class='x'>All rights reserved by the {host} company</div>"
+        share = f"<p class='share'>Sharing {i} is caring</p><div class='search-history'>History {i} of search</div>"
+        beside = f"<div class='share-buttons'>Share page {i} now</div><div class='comment-list'>first {i} post</div>"
+        top = "<table><tr><td><a href='/'>Home</a><td><a href='/a'>About</a></table>"
+        body = {"a": f"<div class='c'><h2>{host} head {i}</h2><p>{words}</p>{extra}{share}{beside}{notice}</div>",
+                "b": f"<section class='sharing'><h2>{host} head {i}</h2>{notice}<p>{words}</p>{extra}{share}{beside}</section>"}[host]
+        want = [f"{host} head {i}", words, *(f"{host} extra {i} {k}" for k in range(i % 4)), f"Sharing {i} is caring", f"History {i} of search"]
+        return f"<html><body>{top}{body}<div>Imprint of {host}</div></body></html>", " ".join(want)
+
+    made = [(n * 100 + i, f"http://{h}.example/{i}", *page(h, i)) for n, h in enumerate("ab") for i in range(12)]
+    # near copies on a host have no say: their common text is no template
+    made += [(300 + i, "http://c.example/", f"<div><p>{'long text ' * 20}</p><p>more text</p><p>{i}</p></div>",
+              f"{'long text ' * 20}more text {i}") for i in range(12)]
+    rows = spark.createDataFrame([m[:3] for m in made], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrapper.extract_text(rows).collect()}
+    assert got == {m[0]: m[3] for m in made}
+
+
 def test_op10_packed_bytes_do_not_grow_with_ranges():
     rng = np.random.default_rng(9)
     tokens = [rng.integers(0, 1 << 64, 200, dtype=np.uint64) for _ in range(300)]
