@@ -93,7 +93,7 @@ class Tree:
         self.parent.append(parent)
         self.children[parent].append(node)
         self.children.append([])
-        self.drop.append(2 if tag in DROPPED else _boiler(names) if names and tag not in TEXTUAL else 0)
+        self.drop.append(_drop(self.label[node]))
         return node
 
     def own_text(self) -> list[list[str]]:
@@ -105,8 +105,11 @@ class Tree:
 
 
 @lru_cache(1 << 14)
-def _boiler(names: str) -> int:
-    found = 0
+def _drop(label: str) -> int:
+    tag, _, names = label.partition(".")
+    found = 2 if tag in DROPPED else 0
+    if tag in TEXTUAL:
+        return found
     for name in names.lower().split():
         parts = [name] if name in WORDS else [p for p in re.split("[-_:0-9]+", name) if p]
         if any(p in WORDS for p in parts) and all(p in WORDS or p in BESIDE for p in parts):
@@ -172,11 +175,13 @@ def _close(tree: Tree, stack: list[int], tags: set[str], holders: set[str] | fro
             return
 
 
-def skeleton(tree: Tree) -> dict:
-    """Labels, parents, and per node the hash and length of its own text."""
-    texts = [" ".join("".join(t).split()) for t in tree.own_text()]
-    return {"label": tree.label, "parent": tree.parent, "hash": [_digest(t) if t else 0 for t in texts],
-            "chars": [len(t) for t in texts], "drop": tree.drop}
+def skeleton(tree: Tree) -> bytes:
+    """Labels, depths, and per node the length of its own text and, of those with text, its digest."""
+    texts, depth = [" ".join("".join(t).split()) for t in tree.own_text()], [0] * len(tree.tag)
+    for i in range(1, len(depth)):
+        depth[i] = depth[tree.parent[i]] + 1
+    digests = np.array([_digest(t) for t in texts if t], "<i8").tobytes()
+    return len(digests).to_bytes(4, "little") + digests + zlib.compress(json.dumps([tree.label, depth, [len(t) for t in texts]]).encode("utf-8"), 6)
 
 
 def _digest(text: str) -> int:
@@ -184,13 +189,21 @@ def _digest(text: str) -> int:
 
 
 class Skeleton:
-    def __init__(self, raw: dict):
-        self.label, self.parent, self.hash, self.chars, self.drop = (raw[k] for k in ("label", "parent", "hash", "chars", "drop"))
-        n = len(self.label)
+    def __init__(self, raw: bytes):
+        split = 4 + int.from_bytes(raw[:4], "little")
+        self.label, depth, self.chars = json.loads(zlib.decompress(raw[split:]))
+        digests = iter(np.frombuffer(raw[4:split], "<i8").tolist())
+        self.hash = [next(digests) if c else 0 for c in self.chars]
+        self.drop = [_drop(label) for label in self.label]
+        n, at = len(self.label), []
+        self.parent, self.size = [-1] * n, [1] * n
         self.children: list[list[int]] = [[] for _ in range(n)]
-        self.size = [1] * n
-        for i in range(1, n):
-            self.children[self.parent[i]].append(i)
+        for i, d in enumerate(depth):
+            del at[d:]
+            if d:
+                self.parent[i] = at[-1]
+                self.children[at[-1]].append(i)
+            at.append(i)
         self.shape = [0] * n
         for i in range(n - 1, -1, -1):
             self.shape[i] = hash((self.label[i], tuple(self.shape[c] for c in self.children[i])))
@@ -423,7 +436,7 @@ def extract_text(pages: DataFrame, least_pages: int = 5, constant: float = 0.9,
 
     def to_skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [zlib.compress(json.dumps(skeleton(parse(x or ""))).encode(), 1) for x in batch.column(1).to_pylist()]
+            raw = [skeleton(parse(x or "")) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["host", "page"])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -441,15 +454,15 @@ def extract_text(pages: DataFrame, least_pages: int = 5, constant: float = 0.9,
                 if wrapper is None or host != name or raw != seed:
                     yield sums()
                     name, seed = host, raw
-                    wrapper = Wrapper(Skeleton(json.loads(zlib.decompress(raw))))
-                wrapper.add(Skeleton(json.loads(zlib.decompress(page))))
+                    wrapper = Wrapper(Skeleton(raw))
+                wrapper.add(Skeleton(page))
         yield sums()
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for host, raw, nodes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                seed = Skeleton(json.loads(zlib.decompress(raw)))
+                seed = Skeleton(raw)
                 slot, fixed, content = choose(seed, {x["node"]: [x["matched"], x["equal"], x["chars"]] for x in nodes}, least_pages, constant)
                 out.append({"host": host, "seed": raw, "slot": slot, "fixed": fixed, "content": content})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([
@@ -464,7 +477,7 @@ def extract_text(pages: DataFrame, least_pages: int = 5, constant: float = 0.9,
                 mine, node, template, kept = Skeleton(skeleton(tree)), -1, set(), set()
                 if raw is not None and slot >= 0:
                     if raw != last:
-                        last, seed = raw, Skeleton(json.loads(zlib.decompress(raw)))
+                        last, seed = raw, Skeleton(raw)
                     pairs, fixed, content = align(mine, seed), set(fixed), set(content)
                     same = [h == 0 or j in fixed and h == seed.hash[j] for h, j in zip(mine.hash, pairs, strict=True)]
                     for i in range(len(pairs) - 1, 0, -1):  # all below must be template on this page too
@@ -481,10 +494,10 @@ def extract_text(pages: DataFrame, least_pages: int = 5, constant: float = 0.9,
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"])
 
-    # copies of a page count once; the seed is the page of least hash
+    # copies of a page count once; the seed is the page of least hash, of which each task sends one a host
     bones = rows.select("host", "html").mapInArrow(to_skeletons, "host string, page binary").distinct()
-    seeds = bones.groupBy("host").agg(F.min(F.struct(F.xxhash64("page").alias("h"), "page")).alias("m")).select(
-        "host", F.col("m.page").alias("seed"))
+    seeds = (rows.groupBy("host").agg(F.min(F.struct(F.xxhash64("html").alias("h"), "html")).alias("m"))
+             .select("host", "m.html").mapInArrow(to_skeletons, "host string, page binary").withColumnRenamed("page", "seed"))
     sums = (bones.join(seeds, "host").sortWithinPartitions("host").select("host", "page", "seed")
             .mapInArrow(add_up, "host string, node long, matched long, equal long, chars long")
             .groupBy("host", "node").agg(*(F.sum(c).alias(c) for c in ("matched", "equal", "chars")))
