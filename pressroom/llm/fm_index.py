@@ -1,23 +1,28 @@
 """Benchmark phrases in training texts, found by an FM-index per shard.
 
-A shard is a run of documents of ``SLICE`` bytes of text together, or one longer document. A word outside the benchmark's vocabulary can't lie in an
-occurrence, so the shard's text is its runs of vocabulary words that are long enough for the shortest
-phrase, with a separator after each. Its suffix array gives the Burrows-Wheeler transform, kept as a
-wavelet matrix with ranks; all phrases are searched backwards at once, one rank for each bit of a word;
+A shard is a run of documents of ``SLICE`` bytes of text together, or one longer document. Its text is all words of its
+documents, numbered within the shard, with a separator after each document. The suffix array gives the Burrows-Wheeler
+transform, kept as a wavelet matrix with ranks; all phrases are searched backwards at once, one rank for each bit of a word;
 occurrences are located by walking to the next sampled suffix; their spans are merged.
 
+``index_texts`` builds the index of every shard once and writes it to the shared folder, a file a task, without looking at any
+benchmark; ``search_index`` searches the files for the phrases of any benchmark, any number of times. A pipeline that needs the
+documents themselves (``drop_contaminated``) builds and searches a shard in one pass and writes no files.
+
 Phrases are windows of ``window`` consecutive words of an item; an item of fewer words, but not none, is
 one phrase. Words are runs of ASCII letters (lower-cased), digits and all characters beyond ASCII.
 The benchmark is written to the shared folder in pieces of at most ``PIECE`` characters (or one longer
 item), and every shard is searched for each piece in turn, so a large benchmark costs time, not memory.
 
 Null texts have no words and no hits; repeated documents and items count each (an item's id once per
-document); without benchmark items nothing is hit; other columns are not read.
+document); without benchmark items nothing is hit; other columns are not read. Words count as equal by 64 bits of
+their hash, phrases by 64 bits over those.
 """
 
 from __future__ import annotations
 
 import hashlib
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,17 +64,12 @@ class Phrases:
         key = mix(Rolling(mix(codes.astype(np.uint64) + np.uint64(1)), 1).span(start, length) + length.astype(np.uint64))
         _, one, phrase = np.unique(key, return_index=True, return_inverse=True)
         self.start, self.length, self.codes = start[one], length[one], codes
-        self.n, self.shortest = len(one), int(length.min()) if len(length) else 0
+        self.n = len(one)
         order = np.argsort(phrase, kind="stable")
         self.owners = owner[order]
         self.owner_first = np.searchsorted(phrase[order], np.arange(self.n + 1))
         self.items = items
 
-    def code(self, hashes: np.ndarray) -> np.ndarray:
-        """Vocabulary numbers of words, -1 for others."""
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[at] == hashes, at, -1)
-
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Positions in the order of their suffixes; only ties are sorted again, each time by twice the length."""
@@ -98,23 +98,37 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 class FMIndex:
     """Counts and places of phrases in a text of small numbers; the text ends with its only 0."""
 
-    def __init__(self, text: np.ndarray):
-        suffixes = suffix_array(text)
-        self.n = len(text)
-        last = text[suffixes - 1]  # of position 0 the terminal, which is last in the text
-        self.bits = max(1, int(text.max()).bit_length())
-        self.before = np.zeros((1 << self.bits) + 1, np.int64)
-        np.cumsum(np.bincount(text, minlength=1 << self.bits), out=self.before[1:])
-        self.ones, self.zeros, row = [], [], last
-        for level in range(self.bits - 1, -1, -1):
-            bit = (row >> level) & 1
-            ones = np.zeros(self.n + 1, np.int32)
-            np.cumsum(bit, out=ones[1:])
-            self.ones.append(ones)
-            self.zeros.append(self.n - int(ones[-1]))
-            row = np.concatenate([row[bit == 0], row[bit == 1]])
+    def __init__(self, levels: np.ndarray, counts: np.ndarray, sampled: np.ndarray, samples: np.ndarray):
+        """From the bits of the wavelet matrix, one row a level, the number of each symbol, the sampled rows and their places."""
+        self.levels, self.counts, self.marks, self.samples = levels, counts, sampled, samples
+        self.bits, self.n = levels.shape
+        self.before = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        self.ones = np.zeros((self.bits, self.n + 1), np.int32)
+        np.cumsum(levels, axis=1, out=self.ones[:, 1:])
+        self.zeros = self.n - self.ones[:, -1].astype(np.int64)
+        self.sampled = np.concatenate([[0], np.cumsum(sampled)]).astype(np.int32)
+
+    @classmethod
+    def build(cls, text: np.ndarray) -> FMIndex:
+        suffixes = suffix_array(text.astype(np.uint16) if text.max() < 1 << 16 else text)  # 16 bits: a radix sort
+        row = text[suffixes - 1]  # of position 0 the terminal, which is last in the text
+        bits = max(1, int(text.max()).bit_length())
+        levels = np.zeros((bits, len(text)), bool)
+        for level in range(bits):
+            levels[level] = bit = row >> (bits - 1 - level) & 1 == 1
+            row = np.concatenate([row[~bit], row[bit]])
         sampled = suffixes % SAMPLE == 0
-        self.sampled, self.samples = np.concatenate([[0], np.cumsum(sampled)]).astype(np.int32), suffixes[sampled]
+        return cls(levels, np.bincount(text).astype(np.int32), sampled, suffixes[sampled])
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {"size": np.array([self.bits, self.n]), "levels": np.packbits(self.levels), "symbols": self.counts,
+                "sampled": np.packbits(self.marks), "samples": self.samples.astype(np.int32 if self.n < 1 << 31 else np.int64)}
+
+    @classmethod
+    def load(cls, arrays) -> FMIndex:
+        bits, n = arrays["size"].tolist()
+        return cls(np.unpackbits(arrays["levels"], count=bits * n).reshape(bits, n), arrays["symbols"],
+                   np.unpackbits(arrays["sampled"], count=n), arrays["samples"].astype(np.int64))
 
     def rank(self, symbol: np.ndarray, upto: np.ndarray) -> np.ndarray:
         """How often each symbol stands among the first ``upto`` of the transform."""
@@ -135,13 +149,14 @@ class FMIndex:
 
     def search(self, codes: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows [lo, hi) of suffixes that begin with each phrase ``codes[start:start + length]``."""
-        lo, hi = np.zeros(len(start), np.int64), np.full(len(start), self.n, np.int64)
-        live, step = np.arange(len(start)), 1
+        lo, hi, step = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64), 2
+        unknown = np.concatenate([[0], np.cumsum((codes < 0) | (codes >= len(self.counts)))])
+        live = np.flatnonzero(unknown[start + length] == unknown[start])
+        last = codes[start[live] + length[live] - 1]
+        lo[live], hi[live] = self.before[last], self.before[last + 1]
+        live = live[(hi[live] > lo[live]) & (length[live] > 1)]
         while len(live):
             symbol = codes[start[live] + length[live] - step]
-            ok = symbol < len(self.before) - 1
-            hi[live[~ok]] = lo[live[~ok]]
-            live, symbol = live[ok], symbol[ok]
             base = self.before[symbol]
             lo[live], hi[live] = base + self.rank(symbol, lo[live]), base + self.rank(symbol, hi[live])
             live = live[(hi[live] > lo[live]) & (length[live] > step)]
@@ -160,41 +175,57 @@ class FMIndex:
         return out
 
 
-def _runs(code: np.ndarray, text_of: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of runs of known words within a text, of at least the given length."""
-    known = code >= 0
-    same = known[1:] & known[:-1] & (text_of[1:] == text_of[:-1])
-    begin = np.flatnonzero(known & ~np.concatenate([[False], same]))
-    end = np.flatnonzero(known & ~np.concatenate([same, [False]])) + 1
-    long = end - begin >= least
-    return begin[long], end[long]
-
-
-def _find(phrases: Phrases, hashes: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Occurrences in a shard: (start, length) in words of the shard, and distinct (text, item) pairs."""
-    none = np.zeros(0, np.int64)
-    if not phrases.n or not len(hashes):
-        return none, none, none, none
-    code = phrases.code(hashes)
-    begin, end = _runs(code, text_of, phrases.shortest)
-    if not len(begin):
-        return none, none, none, none
-    size = end - begin + 1
-    at = np.cumsum(size) - size
-    place = np.repeat(begin - at, size) + np.arange(size.sum())  # word of each symbol; the separator's is past its run
-    text = code[np.minimum(place, len(code) - 1)] + 2
-    text[at + size - 1] = 1
-    index = FMIndex(np.append(text, 0))
-    lo, hi = index.search(phrases.codes + 2, phrases.start, phrases.length)
-    count = hi - lo
-    phrase = np.repeat(np.arange(phrases.n), count)
-    rows = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    start = place[index.locate(rows)]
-    pair = np.unique(text_of[start] * phrases.n + phrase)
-    doc, phrase = pair // phrases.n, pair % phrases.n
-    many = phrases.owner_first[phrase + 1] - phrases.owner_first[phrase]
-    owner = phrases.owners[np.repeat(phrases.owner_first[phrase] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
-    return start, phrases.length[np.repeat(np.arange(phrases.n), count)], np.repeat(doc, many), owner
+class Shard:
+    """The index over the whole texts of some documents."""
+
+    def __init__(self, counts: np.ndarray, vocabulary: np.ndarray, index: FMIndex):
+        self.counts, self.vocabulary, self.index = counts, vocabulary, index
+        self.filled = np.flatnonzero(counts)  # texts with words; each begins where those before end, separators included
+        self.begin = np.cumsum(counts[self.filled] + 1) - counts[self.filled] - 1
+
+    @classmethod
+    def build(cls, texts: pa.Array) -> Shard:
+        counts, hashes = np.zeros(len(texts), np.int64), [np.zeros(0, np.uint64)]
+        for lo, hi, w in word_slices(texts, ALNUM, lower=True):
+            counts[lo:hi] = w.counts()
+            hashes.append(w.hashes())
+        vocabulary, codes = np.unique(np.concatenate(hashes), return_inverse=True)
+        many = counts[counts > 0]
+        text = np.ones(len(codes) + len(many) + 1, np.int32)
+        text[np.arange(len(codes)) + np.repeat(np.arange(len(many)), many)] = codes + 2
+        text[-1] = 0
+        return cls(counts, vocabulary, FMIndex.build(text))
+
+    def dump(self, ids: pa.Array) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, ids=ids.fill_null(0).to_numpy(), named=ids.is_valid().to_numpy(zero_copy_only=False), counts=self.counts.astype(np.int32),
+                 vocabulary=self.vocabulary, **self.index.arrays())
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, raw: bytes) -> tuple[pa.Array, Shard]:
+        with np.load(io.BytesIO(raw)) as arrays:
+            ids = pa.array(arrays["ids"], pa.int64(), mask=~arrays["named"])
+            return ids, cls(arrays["counts"].astype(np.int64), arrays["vocabulary"], FMIndex.load(arrays))
+
+    def find(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Occurrences: (start, length) in words of the shard, and distinct (text, item) pairs."""
+        none = np.zeros(0, np.int64)
+        if not phrases.n or not len(self.vocabulary):
+            return none, none, none, none
+        at = np.minimum(np.searchsorted(self.vocabulary, phrases.vocabulary), len(self.vocabulary) - 1)
+        codes = np.where(self.vocabulary[at] == phrases.vocabulary, at + 2, -1)[phrases.codes]
+        lo, hi = self.index.search(codes, phrases.start, phrases.length)
+        count = hi - lo
+        phrase = np.repeat(np.arange(phrases.n), count)
+        rows = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        place = self.index.locate(rows)
+        text = np.searchsorted(self.begin, place, "right") - 1
+        pair = np.unique(self.filled[text] * phrases.n + phrase)
+        doc, one = pair // phrases.n, pair % phrases.n
+        many = phrases.owner_first[one + 1] - phrases.owner_first[one]
+        owner = phrases.owners[np.repeat(phrases.owner_first[one] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        return place - text, phrases.length[phrase], np.repeat(doc, many), owner
 
 
 def _write_pieces(benchmark: DataFrame, item_col: str, text_col: str) -> str:
@@ -226,25 +257,20 @@ def _pieces(folder: str, window: int) -> Iterator[Phrases]:
         _PIECES[folder, window] = []
 
 
-def judge(texts: pa.Array, folder: str, window: int, share: float) -> dict[str, pa.Array]:
+def judge(shard: Shard, folder: str, window: int, share: float) -> dict[str, pa.Array]:
     """All columns of ``HITS`` but the id, for a shard."""
-    n, per_hit = len(texts), round(1 / share)
-    counts, hashes = np.zeros(n, np.int64), [np.zeros(0, np.uint64)]
-    for lo, hi, w in word_slices(texts, ALNUM, lower=True):
-        counts[lo:hi] = w.counts()
-        hashes.append(w.hashes())
-    hashes = np.concatenate(hashes)
+    counts, n, per_hit = shard.counts, len(shard.counts), round(1 / share)
     text_of = np.repeat(np.arange(n), counts)
     starts, lengths, found = [], [], [set() for _ in range(n)]
     for phrases in _pieces(folder, window):
-        start, length, doc, owner = _find(phrases, hashes, text_of)
+        start, length, doc, owner = shard.find(phrases)
         starts.append(start)
         lengths.append(length)
         for d, o in zip(doc.tolist(), owner.tolist(), strict=True):
             found[d].add(str(phrases.items[o]))
-    hit = np.zeros(len(hashes), bool)
+    hit = np.zeros(len(text_of), bool)
     if starts:
-        hit = cover(np.concatenate(starts), np.concatenate(lengths), len(hashes))
+        hit = cover(np.concatenate(starts), np.concatenate(lengths), len(text_of))
     first = np.cumsum(counts) - counts
     at = np.flatnonzero(hit)
     n_hit = np.bincount(text_of[at], minlength=n)
@@ -267,24 +293,57 @@ def shards(texts: pa.Array) -> Iterator[tuple[int, int]]:
     return slices(buffers(texts)[1])
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.05,
-                       id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """One row per document (``HITS``): words, hit words, items found, and the word spans to remove.
-
-    ``contaminated``: at least one word is hit, and at least ``share`` of all. No row is shuffled.
-    """
-    folder = _write_pieces(benchmark, item_col, text_col)
+def index_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Index every shard once; (file, offset, length, docs) of each, read back from the shared folder. No row is shuffled."""
+    folder = files.new_folder(docs.sparkSession, "fm-index")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uri, stream, at = "", None, 0
         for batch in batches:
+            out = []
             for lo, hi in shards(batch.column(1)):
-                part = batch.slice(lo, hi - lo)
-                got = judge(part.column(1), folder, window, share)
-                yield pa.RecordBatch.from_arrays([part.column(0), *got.values()], names=["doc_id", *got])
+                if stream is None:
+                    uri, stream = files.create(folder, ".fm")
+                raw = Shard.build(batch.column(1).slice(lo, hi - lo)).dump(batch.column(0).slice(lo, hi - lo))
+                stream.write(raw)
+                out.append({"file": uri, "offset": at, "length": len(raw), "docs": hi - lo})
+                at += len(raw)
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([
+                ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("docs", pa.int64())]))
+        if stream is not None:
+            stream.close()
+        files.tidy()
+
+    return files.stage(rows.mapInArrow(run, "file string, offset long, length long, docs long"))
+
+
+def search_index(index: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.05, item_col: str = "item_id",
+                 text_col: str = "text") -> DataFrame:
+    """``HITS`` of all documents of an index; a task reads about as much as one that wrote a file."""
+    folder = _write_pieces(benchmark, item_col, text_col)
+    tasks = index.select("file").distinct().count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri, at, length in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                with files.read_at(uri) as f:
+                    f.seek(at)
+                    ids, shard = Shard.load(f.read(length))
+                got = judge(shard, folder, window, share)
+                yield pa.RecordBatch.from_arrays([ids, *got.values()], names=["doc_id", *got])
         files.tidy()
 
-    return rows.mapInArrow(run, HITS)
+    return index.repartition(max(1, tasks), "file", "offset").mapInArrow(run, HITS)
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.05,
+                       id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """One row per document (``HITS``): words, hit words, items found, and the word spans to remove.
+
+    ``contaminated``: at least one word is hit, and at least ``share`` of all.
+    """
+    return search_index(index_texts(docs, id_col, text_col), benchmark, window, share, item_col, text_col)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: float = 0.05,
@@ -296,7 +355,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, s
         for batch in batches:
             for lo, hi in shards(batch.column(at)):
                 part = batch.slice(lo, hi - lo)
-                yield part.filter(pc.invert(judge(part.column(at), folder, window, share)["contaminated"]))
+                yield part.filter(pc.invert(judge(Shard.build(part.column(at)), folder, window, share)["contaminated"]))
         files.tidy()
 
     return docs.mapInArrow(run, docs.schema)

@@ -18,7 +18,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 import brute  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from pressroom.llm import jaccard_join, merkle, pii, pivots, whitening, wrapper  # noqa: E402
+from pressroom.llm import fm_index, jaccard_join, merkle, pii, pivots, whitening, wrapper  # noqa: E402
 from pressroom.llm.queries import QUERIES, SQL  # noqa: E402
 from pressroom.llm.unitcodes import tokenizer_file  # noqa: E402
 
@@ -192,6 +192,34 @@ def test_op7(spark, folder):
     assert any(g[5] for g in got)
 
 
+def test_op7_one_index_for_several_benchmarks(spark, odd):
+    """Shards are indexed once, whole, and searched for other phrases later; nothing of a benchmark is in the files."""
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    index = fm_index.index_texts(docs)
+    before = index.collect()
+    assert sum(r.docs for r in before) == docs.count()
+    rows = documents(odd)
+    other = [(f"o{i}", (d[1] or "")[:400]) for i, d in enumerate(rows[:6])] + [("v", VOCAB[3]), ("none", "wordnowhere")]
+    for items in (rows_of(odd, "benchmark", "item_id", "text"), other):
+        benchmark = spark.createDataFrame([(str(i), t) for i, t in items], "item_id string, text string")
+        got = fm_index.search_index(index, benchmark).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+        same([tuple(r) for r in got.collect()], brute.contamination(rows, items))
+    assert index.collect() == before
+
+
+def test_op7_locates_every_occurrence():
+    rng = np.random.default_rng(4)
+    for size in (1, 2, 50, 3000):
+        text = np.append(rng.integers(1, 6, size), 0).astype(np.int32)
+        index = fm_index.FMIndex.build(text)
+        index = fm_index.FMIndex.load(index.arrays())
+        codes = rng.integers(2, 6, 40)
+        start, length = rng.integers(0, 30, 60), rng.integers(1, 6, 60)
+        for a, n, lo, hi in zip(start, length, *index.search(codes, start, length), strict=True):
+            want = [i for i in range(size) if text[i:i + n].tolist() == codes[a:a + n].tolist()]
+            assert hi - lo == len(want) and sorted(index.locate(np.arange(lo, hi)).tolist()) == want
+
+
 @tables("odd")
 def test_op8(spark, folder):
     docs = [d for d in documents(folder) if len(d[1] or "") < 9000]  # brute force is quadratic
