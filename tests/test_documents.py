@@ -70,3 +70,12 @@ def test_log_rows_leave_rejects_out(spark):
     rows = G.log_rows(G.read_events(df).withColumn("at", F.lit("2024-05-06 07:08:09.123456").cast("timestamp")), "at", "id").collect()
     assert len(rows) == 1 and rows[0]["event_key"].startswith("feeds/u/update/2024/05/06/1714979289123-")
     assert json.loads(rows[0]["document"]) == {"userId": "u"}
+
+
+def test_summaries_of_a_query_are_made_once(spark):
+    """Queries that read the articles several times summarise them once, into a table in the shared folder."""
+    from pressroom.plans import queries as Q
+
+    for name in ("merge_backend", "retag_merge", "late_enrichment", "merge_user"):
+        plan = Q.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract_all" not in plan and "Generate explode" not in plan, name
